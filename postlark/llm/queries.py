@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import packing
+from postlark.llm import packing, toxicity
 from postlark.llm.common import table
 
 
@@ -14,6 +14,16 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {"op2_pack_sequences": op2_pack_sequences}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text", "lang"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
+
+
+QUERIES = {
+    "op2_pack_sequences": op2_pack_sequences,
+    "op9_toxicity": op9_toxicity,
+}
 
 ORACLES: dict[str, str] = {}
