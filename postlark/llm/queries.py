@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import packing, toxicity
+from postlark.llm import licenses, packing, quality, toxicity
 from postlark.llm.common import table
 
 
@@ -14,6 +14,40 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
+
+
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.signals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rules = [quality.Rule("base", failed), *quality.default_rules()]
+    out = quality.cascade(measured.withColumn("base_failed", failed), rules)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"))
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM w),
+seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 7], ' ')) AS c FROM starts),
+hit AS (SELECT DISTINCT doc_id, i + k AS p FROM seen, (SELECT unnest(range(8)) AS k) WHERE c > 1),
+rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM hit GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, t, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 10 > n_words OR length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) * 2 > word_chars
+    OR length(regexp_replace(t, '[^!]', '', 'g')) * 4 > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR (n_dup_lines * 10 > n_words AND n_dup_lines >= 3)) AS kept
+FROM f
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -23,7 +57,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pack_sequences": op2_pack_sequences,
+    "op4_license_scan": op4_license_scan,
+    "op6_quality_cascade": op6_quality_cascade,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_cascade": OP6_SQL}
