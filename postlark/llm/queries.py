@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import licenses, packing, quality, toxicity
+from postlark.llm import attribution, chat, decontaminate, licenses, packing, quality, toxicity
 from postlark.llm.common import table
 
 
@@ -48,6 +48,15 @@ FROM f
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.exchanges(table(spark, sf_dir, "conversations"))
+    return chat.link_calls(calls, results, chat.REPLY_SCHEMAS)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -55,11 +64,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_pack_sequences": op2_pack_sequences,
     "op4_license_scan": op4_license_scan,
     "op6_quality_cascade": op6_quality_cascade,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_tool_calls": op8_tool_calls,
     "op9_toxicity": op9_toxicity,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {"op6_quality_cascade": OP6_SQL}
