@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import attribution, chat, decontaminate, licenses, packing, quality, toxicity
+from postlark.llm import attribution, chat, decontaminate, licenses, packing, quality, substrings, toxicity
 from postlark.llm.common import table
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "removal.n_bytes", "removal.n_removed", F.size("removal.removed").cast("long").alias("n_spans"), F.sha2("removal.kept", 256).alias("kept_sha256"))
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -69,6 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeated_bytes": op1_repeated_bytes,
     "op2_pack_sequences": op2_pack_sequences,
     "op4_license_scan": op4_license_scan,
     "op6_quality_cascade": op6_quality_cascade,
