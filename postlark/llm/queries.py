@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import attribution, chat, decontaminate, licenses, packing, quality, substrings, toxicity
+from postlark.llm import attribution, chat, decontaminate, licenses, lines, packing, quality, substrings, toxicity
 from postlark.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped_lines", F.md5("text").alias("kept_md5"))
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.signals(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -77,6 +82,7 @@ QUERIES = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_pack_sequences": op2_pack_sequences,
     "op4_license_scan": op4_license_scan,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_quality_cascade": op6_quality_cascade,
     "op7_decontaminate": op7_decontaminate,
     "op8_tool_calls": op8_tool_calls,
