@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import attribution, chat, decontaminate, licenses, lines, packing, quality, substrings, toxicity
+from postlark.llm import attribution, chat, decontaminate, licenses, lines, near_dup, packing, quality, substrings, toxicity
 from postlark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(f"license.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
@@ -81,6 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_pack_sequences": op2_pack_sequences,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_license_scan": op4_license_scan,
     "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_quality_cascade": op6_quality_cascade,
