@@ -1,16 +1,67 @@
-"""Corpus pipeline: toxicity, line dedup, near-dedup, decontamination, packing."""
+"""Corpus pipeline: five stages from raw documents to packed sequences.
+
+1. toxicity: documents that the classifier rejects (at their language's threshold) go.
+2. lines: repeated and nearly repeated lines go; every document stays, if need be with an empty text.
+3. near_duplicates: of each class of near-duplicates the document with the smallest id stays.
+4. decontamination: documents that overlap a benchmark item go.
+5. packing: what is left is cut into sequences of token ids.
+
+Each stage reads what its predecessor wrote.  Stages 1 to 4 return the columns of
+their input; null or empty texts pass all of them and pack as one end id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postlark.llm import decontaminate, lines, near_dup, packing, toxicity
+from postlark.llm.common import materialize, table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_toxicity(docs.drop("score", "toxic"), model)
+    return scored.where(~F.col("toxic")).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = lines.drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # Texts that line dedup has emptied aren't documents of one class: they pass.
+    empty = F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0
+    return near_dup.keep_one(docs.where(~empty)).unionByName(docs.where(empty))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hits") == 0).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs).withColumn("ids_crc32", F.crc32("ids"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
+#: A classifier and token ids can't be written in SQL: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to ``documents``, each to what its predecessor wrote to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
