@@ -1,6 +1,418 @@
-"""Registered queries over the given tables, each with its SQL twin."""
+"""Registered queries over the given tables, each with its SQL twin.
+
+The tables hold no mail, so they are read as mail: documents as messages (first
+line, text, archive = source, folder = language, Message-ID = md5 of the text),
+conversations as folders, region / nation as a folder tree, orders and lineitem as
+nodes and contents rows.  Round trips build mail text from a row, parse it, and the
+twin gives the row.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from postlark.functions import mail
+from postlark.functions import text as X
+from postlark.jobs import export
+from postlark.operators import dedupe, folders, mime, properties, reports, search, sinks
+from postlark.sources import mbox
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a query under its function's name, with its SQL."""
+    def register(function):
+        QUERIES[function.__name__] = function
+        ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def as_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.lit(0).alias("archive_no"), F.col("source").alias("archive_id"), F.col("lang").alias("folder_path"), F.col("lang").alias("folder_id"), F.col("lang").alias("folder_order"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("msg_key"),
+        F.substring_index("text", "\n", 1).alias("subject"), F.concat(F.lit("User "), "source").alias("from_name"), F.concat("source", F.lit("@example.org")).alias("from_email"), F.col("lang").alias("to_list"), F.lit("").alias("cc_list"),
+        F.concat("source", F.lit("@example.org")).alias("addresses"), F.col("text").alias("body_text"), F.concat("source", F.lit(".txt")).alias("attachment_names"), F.md5("text").alias("message_id"), F.octet_length("text").cast("long").alias("size"),
+        (F.when(F.col("doc_id") % 3 != 0, 1).otherwise(0) + F.when(F.col("doc_id") % 5 == 0, 16).otherwise(0)).alias("flags"))
+
+
+MESSAGES = """m AS (SELECT source AS archive_id, lang AS folder_path, doc_id AS seq, doc_id::VARCHAR AS msg_key, split_part(text, chr(10), 1) AS subject, 'User ' || source AS from_name, source || '@example.org' AS from_email, lang AS to_list,
+ text AS body_text, source || '.txt' AS attachment_names, md5(text) AS message_id, strlen(text)::BIGINT AS size, CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 16 ELSE 0 END AS flags, doc_id FROM documents)"""
+HAY = "lower(subject || ' ' || from_name || ' ' || to_list || ' ')"
+
+
+def with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("seq"), F.lit("recipients cannot be read").alias("recipient_error"))
+    return as_messages(spark, sf_dir).join(bad, "seq", "left")
+
+
+@query(f"""WITH {MESSAGES}, s AS (SELECT m.*, toxic IS NOT NULL AS bad, contains({HAY}, 'the') AND contains({HAY}, 'of') AS hit FROM m LEFT JOIN (SELECT doc_id, toxic FROM labels WHERE toxic = 1) USING (doc_id) WHERE contains(folder_path, 'e')),
+c AS (SELECT *, row_number() OVER (PARTITION BY message_id, bad OR NOT hit ORDER BY folder_path, seq) AS rn FROM s)
+SELECT count(*) AS scanned, count(*) FILTER (WHERE NOT bad AND hit AND rn = 1) AS written, count(*) FILTER (WHERE NOT bad AND hit AND rn > 1) AS duplicates, count(*) FILTER (WHERE bad) AS failures, count(*) FILTER (WHERE NOT bad AND NOT hit) AS misses FROM c""")
+def export_report(spark, sf_dir):
+    """Flagship: messages with these words in some folders, each once, with a report."""
+    return reports.export_report(export.decide(with_errors(spark, sf_dir), "the OF", "E"))
+
+
+@query(f"""WITH {MESSAGES} SELECT msg_key, archive_id || '/' || folder_path AS location FROM m WHERE contains({HAY}, 'the') AND contains({HAY}, 'er')""")
+def search_list_fields(spark, sf_dir):
+    return as_messages(spark, sf_dir).where(search.in_list("The er")).select("msg_key", search.location().alias("location"))
+
+
+@query(f"""WITH {MESSAGES} SELECT msg_key FROM m WHERE contains({HAY} || from_email, 'src1@example') AND contains({HAY} || from_email, 'en')""")
+def search_with_addresses(spark, sf_dir):
+    return as_messages(spark, sf_dir).where(search.with_addresses("SRC1@example en")).select("msg_key")
+
+
+@query(f"""WITH {MESSAGES}, h AS (SELECT *, {HAY} || from_email || ' ' || lower(body_text) || ' ' || attachment_names AS hay FROM m) SELECT msg_key FROM h WHERE contains(hay, 'license') AND contains(hay, 'src')""")
+def search_in_bodies(spark, sf_dir):
+    return export.body_search(as_messages(spark, sf_dir).withColumn("date", F.lit(None).cast("timestamp")), "license SRC").select("msg_key")
+
+
+@query(f"""WITH {MESSAGES} SELECT msg_key FROM m WHERE archive_id = 'src3' AND folder_path IN ('en', 'de') AND contains({HAY}, 'the')""")
+def search_scope(spark, sf_dir):
+    rows = as_messages(spark, sf_dir)
+    shown = rows.select("archive_id", "folder_id").distinct().where(F.col("folder_id").isin("en", "de"))
+    return search.in_scope(rows, shown, "src3").where(search.in_list("the")).select("msg_key")
+
+
+@query(f"""WITH {MESSAGES}, s AS (SELECT m.*, l.doc_id IS NULL AS unread FROM m LEFT JOIN labels l USING (doc_id)), f AS (SELECT archive_id, count(*) FILTER (WHERE NOT contains({HAY}, 'the') AND unread) AS messages, 0::BIGINT AS folders FROM s GROUP BY archive_id)
+SELECT archive_id, folders, messages FROM f WHERE messages > 0""")
+def incomplete_search(spark, sf_dir):
+    """Misses on messages without a readable part, counted by archive."""
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"), F.lit(True).alias("known"))
+    rows = as_messages(spark, sf_dir).join(known, "seq", "left").withColumns({"location": search.location(), "body_error": F.when(F.col("known").isNull(), "body cannot be read")})
+    failures = search.misses_that_may_be_wrong(rows, search.in_list("the"), "body_error")
+    return reports.incomplete_warning(failures).select("archive_id", "folders", "messages")
+
+
+@query(f"""WITH {MESSAGES} SELECT archive_id, folder_path, count(*) AS content_count, count(*) FILTER (WHERE flags % 2 = 0) AS unread_count FROM m GROUP BY ALL""")
+def folder_counts(spark, sf_dir):
+    return folders.message_counts(as_messages(spark, sf_dir), "archive_id", "folder_path")
+
+
+@query("""WITH p AS (SELECT r_name || '/' || n_name AS path, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT 'world' AS archive_id, path, count(*)::BIGINT AS total FROM (SELECT path FROM p UNION ALL SELECT split_part(path, '/', 1) FROM p) GROUP BY path""")
+def subtree_totals(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    own = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("content_count"))
+    rows = own.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(F.lit("world").alias("archive_id"), F.concat_ws("/", "r_name", "n_name").alias("path"), "content_count")
+    return folders.subtree_totals(rows).select("archive_id", "path", F.col("total_content_count").alias("total"))
+
+
+@query("""SELECT 'world' AS archive_id, path, (row_number() OVER (ORDER BY r_name, nk) - 1)::BIGINT AS folder_order FROM (
+SELECT r_name AS path, r_name, -1 AS nk FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT r_name || '/' || n_name, r_name, regexp_extract(n_name, '[0-9]+')::INT FROM nation JOIN region ON n_regionkey = r_regionkey)""")
+def folder_preorder(spark, sf_dir):
+    n, r = (table(spark, sf_dir, t) for t in ("nation", "region"))
+    files = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("world").alias("archive_id"), F.concat_ws("/", "r_name", "n_name").alias("folder_path"), "n_name").withColumnRenamed("n_name", "file_path")
+    return folders.with_preorder(folders.folders_from_paths(files)).select("archive_id", "path", F.col("folder_order").cast("long").alias("folder_order"))
+
+
+@query("""SELECT 'w' AS archive_id, folder_id, path, depth FROM (SELECT 'root' AS folder_id, 'root' AS path, 0 AS depth UNION ALL SELECT 'r' || r_regionkey, 'root/' || r_name, 1 FROM region
+UNION ALL SELECT 'n' || n_nationkey, 'root/' || r_name || '/' || n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'c' || s_suppkey, 'root/' || r_name || '/' || n_name || '/' || s_name, 3 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)""")
+def folder_tree(spark, sf_dir):
+    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    rows = r.select(F.concat(F.lit("r"), "r_regionkey").alias("folder_id"), F.lit("root").alias("parent_id"), F.col("r_name").alias("name"))
+    rows = rows.union(n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")).union(s.select(F.concat(F.lit("c"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), "s_name"))
+    rows = rows.union(r.limit(1).select(F.lit("root"), F.lit("n0"), F.lit("root")))  # the root hangs below its own grandchild: a cycle
+    return folders.tree_from_parents(rows.withColumn("archive_id", F.lit("w")), F.col("folder_id") == "root").select("archive_id", "folder_id", "path", "depth")
+
+
+@query("""WITH f AS (SELECT 'w' AS archive_id, path, kind, n FROM (SELECT r_name AS path, 'mail' AS kind, 0 AS n FROM region UNION ALL SELECT r_name || '/' || CASE n_nationkey % 5 WHEN 0 THEN 'Inbox' WHEN 1 THEN 'Sync Issues' ELSE n_name END, CASE n_nationkey % 5 WHEN 0 THEN 'inbox' ELSE 'mail' END, 1 FROM nation JOIN region ON n_regionkey = r_regionkey))
+SELECT DISTINCT archive_id, path, CASE WHEN contains(path, '/') AND lift THEN split_part(path, '/', 2) ELSE path END AS shown_path FROM (SELECT *, bool_or(kind = 'inbox') OVER (PARTITION BY split_part(path, '/', 1)) AS lift FROM f WHERE NOT contains(path, 'Sync Issues')) WHERE NOT (lift AND NOT contains(path, '/') AND n = 0)""")
+def visible_folders(spark, sf_dir):
+    n, r = (table(spark, sf_dir, t) for t in ("nation", "region"))
+    name = F.when(F.col("n_nationkey") % 5 == 0, "Inbox").when(F.col("n_nationkey") % 5 == 1, "Sync Issues").otherwise(F.col("n_name"))
+    rows = r.select(F.col("r_name").alias("path"), F.col("r_name").alias("name"), F.lit(0).alias("content_count"))
+    rows = rows.union(n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", name), name, F.lit(1))).withColumn("archive_id", F.lit("w")).distinct()
+    rows = rows.withColumn("kind", folders.folder_kind(F.lit(""), F.lit(None).cast("string"), F.col("name")))
+    return folders.visible(rows).select("archive_id", "path", "shown_path")
+
+
+@query("""SELECT s_nationkey AS archive_no, min(path) AS path FROM (SELECT s_nationkey, s_name AS path, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_acctbal > 5000 THEN CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE 1 END ELSE 2 END, s_suppkey) AS rn FROM supplier) WHERE rn = 1 GROUP BY 1""")
+def default_folders(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("archive_id"), F.col("s_name").alias("path"), F.when(F.col("s_suppkey") % 4 == 0, "inbox").otherwise("mail").alias("kind"), F.when(F.col("s_acctbal") > 5000, 1).otherwise(0).alias("content_count"), F.col("s_suppkey").alias("folder_order"))
+    return folders.default_folder(s).withColumnRenamed("archive_id", "archive_no")
+
+
+KINDS = ["IPM.Note", "ipm.contact.x", "IPM.DistList", "IPM.Appointment", "IPM.Schedule.Meeting.Request", "IPM.Task", "IPM.StickyNote", "REPORT.IPM.Note.NDR", "IPM.Other", ""]
+
+
+@query(f"""SELECT event_id, (['mail','contact','distributionList','appointment','meetingRequest','task','note','report','other','mail'])[(event_id % {len(KINDS)})::INT + 1] AS kind FROM events""")
+def item_kinds(spark, sf_dir):
+    cls = F.get(F.array(*map(F.lit, KINDS)), (F.col("event_id") % len(KINDS)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", folders.item_kind(cls).alias("kind"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'contacts' WHEN 'view' THEN 'sent' WHEN 'error' THEN 'trash' WHEN 'signup' THEN 'drafts' ELSE 'mail' END AS kind FROM events""")
+def folder_kinds(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kind = folders.folder_kind(F.when(F.col("event_type") == "click", "IPF.Contact.MOC"), F.when(F.col("event_type") == "view", "sent"), F.when(F.col("event_type") == "error", "Verwijderde items").when(F.col("event_type") == "signup", " Brouillons").otherwise("Projects"))
+    return e.select("event_id", kind.alias("kind"))
+
+
+@query(f"""WITH {MESSAGES} SELECT msg_key, rn = 1 AS first_copy FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY folder_path, seq) AS rn FROM m)""")
+def message_id_copies(spark, sf_dir):
+    return dedupe.once_per_message_id(as_messages(spark, sf_dir)).select("msg_key", "first_copy")
+
+
+@query("""SELECT l_partkey AS nid, count(*) AS listed, count(*) FILTER (WHERE rn = 1) AS firsts, max(CASE WHEN rn = 1 THEN l_suppkey END) AS folder FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_orderkey, l_linenumber) AS rn FROM (SELECT DISTINCT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem)) GROUP BY 1""")
+def store_entries_once(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("a").alias("archive_id"), F.col("l_partkey").alias("nid"), F.col("l_suppkey").alias("folder_order"), F.struct("l_orderkey", "l_linenumber").alias("seq")).distinct()
+    once = dedupe.once_per_entry(rows)
+    return once.groupBy("nid").agg(F.count(F.lit(1)).alias("listed"), F.count_if("first_entry").alias("firsts"), F.max(F.when(F.col("first_entry"), F.col("folder_order"))).alias("folder"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS nid FROM orders WHERE o_orderkey % 7 <> 0), l AS (SELECT DISTINCT l_suppkey AS folder_nid, l_orderkey AS row_id FROM lineitem)
+SELECT folder_nid, row_id FROM l WHERE row_id IN (SELECT nid FROM a)""")
+def contents_with_nodes(spark, sf_dir):
+    nodes = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.lit("a").alias("archive_id"), F.col("o_orderkey").alias("nid"))
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("a").alias("archive_id"), F.col("l_suppkey").alias("folder_nid"), F.col("l_orderkey").alias("row_id")).distinct()
+    return properties.existing(rows, nodes).select("folder_nid", "row_id")
+
+
+@query("""WITH nodes AS (SELECT o_orderkey * 32 + 4 AS nid, o_custkey AS parent FROM orders), l AS (SELECT DISTINCT o_custkey AS folder_nid, o_orderkey * 32 + 4 AS row_id FROM orders WHERE o_orderkey % 3 = 0)
+SELECT folder_nid, row_id, 0 AS source_rank FROM l UNION ALL SELECT parent, nid, 1 FROM nodes WHERE nid NOT IN (SELECT row_id FROM l)""")
+def contents_and_orphans(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("archive_id", F.lit("a"))
+    nodes = o.select("archive_id", (F.col("o_orderkey") * 32 + 4).alias("nid"), F.col("o_custkey").alias("nid_parent"))
+    rows = o.where("o_orderkey % 3 = 0").select("archive_id", F.col("o_custkey").alias("folder_nid"), (F.col("o_orderkey") * 32 + 4).alias("row_id"))
+    return properties.with_orphans(rows, nodes, properties.NODE_TYPE_MESSAGE).select("folder_nid", "row_id", "source_rank")
+
+
+@query("""SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE o_orderstatus END AS subject, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE 'S' END AS sender_name FROM orders""")
+def sparse_contents(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("archive_id", F.lit("a"))
+    blank = F.col("o_orderkey") % 4 == 0
+    rows = o.select("archive_id", F.col("o_orderkey").alias("row_id"), F.when(~blank, F.col("o_orderstatus")).alias("subject"), F.when(~blank, F.lit("S")).otherwise("").alias("sender_name"))
+    own = o.select("archive_id", F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("subject"), F.col("o_orderstatus").alias("sender_name"))
+    return properties.fill_sparse(rows, own, ["subject", "sender_name"]).select("row_id", "subject", "sender_name")
+
+
+def as_properties(spark, sf_dir) -> DataFrame:
+    """Parts as property rows; property 12289 comes twice, the second time with the name."""
+    p = table(spark, sf_dir, "part")
+    rows = F.array(*(F.struct(F.lit(pos).alias("pos"), F.lit(i).alias("prop_id"), F.lit(31).alias("prop_type"), v.cast("string").alias("v_str")) for pos, i, v in ((0, 0x3001, F.col("p_brand")), (1, 0x3001, F.col("p_name")), (2, 0x3A17, F.col("p_type")), (3, 0x8001, F.col("p_size")))))
+    return p.select(F.lit("a").alias("archive_id"), F.col("p_partkey").alias("nid"), F.explode(rows).alias("r")).select("archive_id", "nid", "r.*").withColumns({"v_arr": F.lit(None).cast("array<string>"), "v_ts": F.lit(None).cast("timestamp"), "v_long": F.lit(None).cast("long"), "v_double": F.lit(None).cast("double"), "v_bin": F.lit(None).cast("binary")})
+
+
+@query("""SELECT p_partkey AS nid, p_name AS display_name, p_type AS title FROM part""")
+def property_pivot(spark, sf_dir):
+    return properties.to_columns(as_properties(spark, sf_dir), {0x3001: "display_name", 0x3A17: "title"}, "v_str").select("nid", "display_name", "title")
+
+
+@query("""SELECT p_partkey AS nid, 'PSETID_Address' AS set_name, p_size::VARCHAR AS v_str FROM part""")
+def named_properties(spark, sf_dir):
+    p = as_properties(spark, sf_dir)
+    named = p.groupBy("archive_id", "prop_id").agg(F.lit("{00062004-0000-0000-C000-000000000046}").alias("guid")).where("prop_id >= 32768")
+    return properties.named_values(p, named).select("nid", properties.set_name(F.col("guid")).alias("set_name"), "v_str")
+
+
+@query("""SELECT nid, tag, name, type_name, shown FROM (SELECT p_partkey AS nid, unnest(['0x3001001F', '0x3001001F', '0x3A17001F', '0x8001001F']) AS tag, unnest(['Display name', 'Display name', 'Title', '0x8001']) AS name, 'Unicode' AS type_name, unnest([p_brand, p_name, p_type, p_size::VARCHAR]) AS shown FROM part) WHERE contains(lower(shown), 'ring') OR contains(lower(name), 'ring') OR contains(lower(tag), 'ring')""")
+def property_listing(spark, sf_dir):
+    p = as_properties(spark, sf_dir)
+    names = p.select("prop_id").distinct().select("prop_id", F.when(F.col("prop_id") == 0x3001, "Display name").when(F.col("prop_id") == 0x3A17, "Title").alias("name"))
+    return search.matching_properties(properties.listing(p, names), "RING").select("nid", "tag", "name", "type_name", "shown")
+
+
+@query("""SELECT p_partkey AS nid, unnest(['Name', 'Job title']) AS label, unnest([p_name, p_type]) AS value FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'Complete', p_size || '%' FROM part WHERE p_partkey % 2 = 1""")
+def item_details(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.lit("a").alias("archive_id"), F.col("p_partkey").alias("nid"), F.when(F.col("p_partkey") % 2 == 0, "contact").otherwise("task").alias("kind"), F.concat(F.lit(" "), "p_name").alias("display_name"), F.col("p_type").alias("title"), F.concat(X.percent(F.col("p_size") / 100 + 0.001).cast("string"), F.lit("%")).alias("percent_complete"))
+    return properties.details(p).select("nid", "label", "value")
+
+
+@query("""SELECT n_regionkey::BIGINT AS nid_parent, count(*) AS children FROM nation GROUP BY 1 UNION ALL SELECT 1000 + c_nationkey, count(*) FROM customer GROUP BY 1""")
+def node_children(spark, sf_dir):
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    nodes = n.select(F.col("n_regionkey").cast("long").alias("nid_parent")).union(c.select((F.col("c_nationkey") + 1000).cast("long"))).withColumn("archive_id", F.lit("a"))
+    return folders.children_per_parent(nodes).select("nid_parent", "children")
+
+
+@query("""SELECT l_orderkey AS msg_key, coalesce(string_agg(shown, ', ' ORDER BY pos, shown) FILTER (WHERE k = 1), '') AS to_list, coalesce(string_agg(shown, ', ' ORDER BY pos, shown) FILTER (WHERE k = 2), '') AS cc_list, coalesce(string_agg(shown, ', ' ORDER BY pos, shown) FILTER (WHERE k = 3), '') AS bcc_list
+FROM (SELECT l_orderkey, l_linenumber::BIGINT * 1000000000 + l_partkey AS pos, l_linenumber % 3 + 1 AS k, CASE WHEN l_suppkey % 2 = 0 THEN 'S' || l_suppkey || ' <s' || l_suppkey || '@x.org>' ELSE 'S' || l_suppkey END AS shown FROM lineitem) GROUP BY 1""")
+def recipient_lists(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("msg_key"), (F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey")).alias("pos"), (F.col("l_linenumber") % 3 + 1).cast("int").alias("kind"), F.concat(F.lit("S"), "l_suppkey").alias("name"),
+                                                F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("s"), "l_suppkey", F.lit("@x.org"))).otherwise(F.concat(F.lit("/O=ORG/CN="), "l_suppkey")).alias("email"))
+    return properties.recipient_strings(r)
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'u' || user_id || '@x.org' ELSE 'U <u' || user_id || '@x.org>' END AS shown, make_timestamp(epoch_us(ts)) AS date FROM events""")
+def sender_fields(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    email = properties.sender_email(F.lit("/O=EX"), F.concat(F.lit("u"), "user_id", F.lit("@x.org")))
+    name = properties.sender_name(F.lit(""), F.when(F.col("user_id") % 3 != 0, "U"))
+    return e.select("event_id", properties.display(name, email).alias("shown"), properties.message_date(F.lit(None).cast("timestamp"), F.when(F.col("user_id") % 2 == 0, F.col("ts")), F.col("ts")).alias("date"))
+
+
+@query("""SELECT n_nationkey::BIGINT AS nid, CASE WHEN n_nationkey % 6 = 0 THEN 'sent' WHEN n_nationkey % 6 = 1 THEN 'trash' END AS special_kind FROM nation""")
+def special_folders(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.lit("a").alias("archive_id"), F.col("n_nationkey").cast("long").alias("nid"))
+    little = F.unhex(F.concat(F.repeat(F.lit("AB"), F.lit(20)), F.lpad(F.hex("nid"), 2, "0"), F.lit("000000")))
+    entries = n.where("nid % 6 < 2").select("archive_id", F.when(F.col("nid") % 6 == 0, "sent").otherwise("trash").alias("kind"), little.alias("entry_id"))
+    return properties.special_folders(n, entries).select("nid", "special_kind")
+
+
+@query("""SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS seq, CASE role WHEN 'user' THEN 'to' || conv_id ELSE role END AS correspondent FROM conversations WHERE role <> 'system'""")
+def message_numbers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", F.col("conv_id").cast("string").alias("file_path"), F.expr("turn div 3").alias("block"), F.col("turn").alias("mid"))
+    shown = reports.correspondent(F.when(F.col("role") == "user", "sent").otherwise("inbox"), F.col("role"), F.lit(""), F.concat(F.lit("to"), "conv_id"))
+    return mbox.number_messages(c).select("conv_id", "turn", "seq", shown.alias("correspondent"))
+
+
+@query("""SELECT event_id, ts AS date FROM events ORDER BY ts DESC, event_id LIMIT 50""")
+def newest_messages(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("date")).orderBy(*reports.newest_first("event_id")).limit(50)
+
+
+@query(f"""WITH {MESSAGES} SELECT msg_key, size FROM m ORDER BY CASE WHEN flags >= 16 THEN 1 ELSE 0 END DESC, size DESC, seq LIMIT 40""")
+def largest_with_attachments(spark, sf_dir):
+    order = [reports.column_order("attachments", True)[0], *reports.column_order("size", True, "seq")]
+    return as_messages(spark, sf_dir).orderBy(*order).limit(40).select("msg_key", "size")
+
+
+@query(f"""WITH {MESSAGES} SELECT count(*) FILTER (WHERE contains({HAY}, 'the')) AS found, count(*) FILTER (WHERE contains({HAY}, 'the') AND flags % 2 = 0) AS unread, count(*) AS total FROM m""")
+def result_counts(spark, sf_dir):
+    return reports.result_counts(as_messages(spark, sf_dir), search.in_list("the"))
+
+
+@query(f"""WITH {MESSAGES}, f AS (SELECT archive_id, archive_id || '/' || folder_path AS location, msg_key FROM m JOIN labels USING (doc_id) WHERE toxic = 1) SELECT *, greatest((SELECT count(*) FROM f) - 15, 0)::BIGINT AS more FROM f ORDER BY archive_id, location, msg_key LIMIT 15""")
+def first_failures(spark, sf_dir):
+    rows = with_errors(spark, sf_dir).withColumn("location", search.location())
+    _, failures = dedupe.split_unreadable(rows, "recipient_error")
+    return reports.failure_summary(failures, 15).drop("reason")
+
+
+@query(f"""WITH {MESSAGES} SELECT archive_id, count(*)::BIGINT AS mail_files, sum(size)::BIGINT AS total_bytes, count(DISTINCT folder_path)::BIGINT AS folders, count(*)::BIGINT AS items, count(*) FILTER (WHERE flags % 2 = 0)::BIGINT AS unread, count(*) FILTER (WHERE seq % 10 = 0)::BIGINT AS expunged FROM m GROUP BY 1""")
+def archive_facts(spark, sf_dir):
+    m = as_messages(spark, sf_dir)
+    expunged = m.where("seq % 10 = 0").groupBy("archive_id").agg(F.count(F.lit(1)).alias("expunged"))
+    return folders.archive_facts(m.select("archive_id", F.col("size").alias("size_bytes")), m.select("archive_id", "folder_path").distinct(), folders.message_counts(m, "archive_id", "folder_path"), expunged)
+
+
+@query("""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style.*?</style>', '', 'g'), '(?is)<script.*?</script>', '', 'g'), '(?is)<head.*?</head>', '', 'g'), '(?is)<br[^>]*>', chr(10), 'g'), '(?i)</(p|div|tr|li|h[1-6])>', chr(10), 'g'), '<[^>]+>', '', 'g'),
+'&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&nbsp;', ' '), chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS text_md5 FROM pages""".replace("\\\\n", "\\n"))
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(mail.html_to_text(F.col("html"))).alias("text_md5"))
+
+
+@query("""SELECT page_id, nullif(regexp_extract(lower(html[:4096]), 'charset\\s*=\\s*["'']?\\s*([a-z0-9_\\-]+)', 1), '') AS charset FROM pages""".replace("\\\\", "\\"))
+def html_charsets(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.html_charset(F.encode("html", "UTF-8")).alias("charset"))
+
+
+@query("""SELECT event_id, date_trunc('second', ts) AS date FROM events""")
+def mail_dates(spark, sf_dir):
+    """Round trip: the time in one of three forms, read again."""
+    ts = F.col("ts")
+    text = F.when(F.col("event_id") % 3 == 0, X.format_rfc2822(ts)).when(F.col("event_id") % 3 == 1, X.format_mbox_date(ts)).otherwise(F.date_format(ts + F.expr("interval 60 minutes"), "d MMM yy HH:mm:ss 'MET'"))
+    return table(spark, sf_dir, "events").select("event_id", mail.mail_date(text).alias("date"))
+
+
+@query("""SELECT event_id, make_timestamp(epoch_us(ts)) AS filetime, make_timestamp(epoch_us(ts)) AS ole, user_id / 10000.0 AS money FROM events""")
+def store_times(spark, sf_dir):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", X.filetime_to_ts((micros + 11644473600000000) * 10 + 3).alias("filetime"), F.timestamp_micros(F.unix_micros(X.filetime_to_ts((micros + 11644473600000000) * 10)) + F.unix_micros(X.ole_date_to_ts(F.lit(25569.0)))).alias("ole"), X.currency(F.col("user_id")).alias("money"))
+
+
+def mail_text(spark, sf_dir) -> DataFrame:
+    """Documents as raw mail with folded headers, CRLF and a status."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.concat_ws("\r\n", F.concat(F.lit("X-Mozilla-Status: "), F.when(F.col("doc_id") % 10 == 0, "0009").when(F.col("doc_id") % 3 == 0, "0000").otherwise("0001")), F.concat(F.lit("SUBJECT : Note\r\n\tnumber "), "doc_id"), F.concat(F.lit("From: \"Src, "), "source", F.lit("\" <"), "source", F.lit("@x.org>")),
+                        F.concat(F.lit("To: a@x.org, B <b@x.org>;\r\n "), "lang", F.lit("@x.org (L)")), F.concat(F.lit("X-Priority: "), (F.col("doc_id") % 6).cast("string")), F.lit("Date: 4 Nov 99 12:00 MET"), F.lit("Content-Type: text/plain; charset=\"UTF-8\""), F.lit(">From garbage"), F.concat(F.lit("Message-ID: <"), "doc_id", F.lit("@x>")))
+    raw = F.encode(F.concat(lines, F.lit("\r\n\r\n"), "text"), "UTF-8")
+    return d.select(F.lit("a").alias("archive_id"), F.col("lang").alias("folder_path"), F.col("lang").alias("file_path"), F.lit(0).cast("long").alias("block"), F.col("doc_id").alias("mid"), F.lit("From - Thu Nov 04 12:00:00 1999").alias("sep_line"), raw.alias("raw"), F.octet_length(raw).cast("long").alias("size"))
+
+
+@query("""SELECT lang AS folder_path, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::BIGINT AS seq, 'Note number ' || doc_id AS subject, 'Src, ' || source AS from_name, source || '@x.org' AS from_email, 'a@x.org; B; L' AS to_list, TIMESTAMP '1999-11-04 11:00:00' AS date,
+CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS flags, CASE WHEN doc_id % 6 <= 2 THEN 2 WHEN doc_id % 6 >= 4 THEN 0 ELSE 1 END AS importance, '<' || doc_id || '@x>' AS message_id FROM documents WHERE doc_id % 10 <> 0""")
+def message_list(spark, sf_dir):
+    rows = mbox.message_summaries(mail_text(spark, sf_dir))
+    return rows.select("folder_path", "seq", "subject", "from_name", "from_email", "to_list", "date", "flags", "importance", "message_id")
+
+
+@query("""SELECT doc_id AS msg_key, pos, kind, name, email FROM (SELECT doc_id, unnest([0, 1, 2]) AS pos, 1 AS kind, unnest(['', 'B', 'L']) AS name, unnest(['a@x.org', 'b@x.org', lang || '@x.org']) AS email FROM documents)""")
+def recipients(spark, sf_dir):
+    return mime.recipients(mbox.with_headers(mail_text(spark, sf_dir)).withColumnRenamed("mid", "msg_key"))
+
+
+@query("""SELECT doc_id, md5(text) AS plain_md5, 1::BIGINT AS n_attachments, 'dö c' || doc_id || '.bin' AS filename, md5(source) AS payload_md5, (length(to_base64(source::BLOB)) * 3 // 4)::BIGINT AS size FROM documents""")
+def mime_parts(spark, sf_dir):
+    """Round trip: multipart mail with a base64 body and an attachment with an RFC 2231 name."""
+    d = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("filename*=iso-8859-1''d%F6%20c"), "doc_id", F.lit(".bin"))
+    raw = F.concat_ws("\n", F.lit("Content-Type: multipart/mixed;"), F.lit(" boundary=\"b 1\""), F.lit(""), F.lit("preamble"), F.lit("--b 1"), F.lit("Content-Type: text/plain; charset=utf-8"), F.lit("Content-Transfer-Encoding: base64"), F.lit(""), F.base64(F.encode("text", "UTF-8")), F.lit("--b 1 "),
+                      F.lit("Content-Type: application/octet-stream"), F.concat(F.lit("Content-Disposition: attachment; "), name), F.lit("Content-Transfer-Encoding: BASE64"), F.lit(""), F.base64(F.encode("source", "UTF-8")), F.lit("--b 1--"), F.lit("epilogue"))
+    parts = mime.with_text(mime.decoded(mime.explode_parts(d.select(F.col("doc_id").alias("msg_key"), F.encode(raw, "UTF-8").alias("raw")))))
+    out = mime.bodies_and_attachments(parts)
+    a = F.get("attachments", 0)
+    return out.select(F.col("msg_key").alias("doc_id"), F.md5("body_text").alias("plain_md5"), F.size("attachments").cast("long").alias("n_attachments"), a["filename"].alias("filename"), F.md5(a["payload"]).alias("payload_md5"), a["size"].alias("size"))
+
+
+@query("""SELECT doc_id, md5(text) AS plain_md5, md5('<p>' || text || '</p>') AS html_md5, 'é ' || source AS subject, 'Ä ' || lang AS from_name FROM documents""")
+def built_messages(spark, sf_dir):
+    """Round trip: messages built from decoded columns and parsed again."""
+    d = table(spark, sf_dir, "documents")
+    nothing = F.lit(None).cast("string")
+    m = d.select(F.col("doc_id").alias("msg_key"), F.concat(F.lit("Ä "), "lang").alias("from_name"), F.concat("source", F.lit("@x.org")).alias("from_email"), F.array(F.struct(F.lit(1).alias("kind"), F.col("source").alias("name"), F.lit("t@x.org").alias("email"))).alias("recipients"), nothing.alias("display_to"), nothing.alias("display_cc"), nothing.alias("display_bcc"),
+                 F.concat(F.lit("é "), "source").alias("subject"), F.lit(None).cast("timestamp").alias("date"), nothing.alias("message_id"), F.lit("IPM.Note").alias("message_class"), F.col("text").alias("body_text"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("body_html"),
+                 F.array(F.struct(F.lit("a.bin").alias("filename"), F.lit(1).alias("method"), F.lit("x/y").alias("mime_type"), F.lit("").alias("content_id"), F.encode("source", "UTF-8").alias("payload"))).alias("attachments"), F.lit(None).cast("binary").alias("raw"))
+    built = sinks.build_eml(m).select("msg_key", F.col("eml").alias("raw"))
+    out = mime.bodies_and_attachments(mime.with_text(mime.decoded(mime.explode_parts(built))))
+    heads = mbox.with_headers(built).select("msg_key", mail.words(X.header(F.col("headers"), "Subject")).alias("subject"), F.get(mail.addresses(X.header(F.col("headers"), "From")), 0)["name"].alias("from_name"))
+    return out.join(heads, "msg_key").select(F.col("msg_key").alias("doc_id"), F.md5("body_text").alias("plain_md5"), F.md5("body_html").alias("html_md5"), "subject", "from_name")
+
+
+@query("""SELECT doc_id, md5('From ' || source || '@x.org Thu Jan 01 00:00:00 1970' || chr(10) || 'X-Folder: ' || source || '/' || lang || chr(10) || regexp_replace('From me' || chr(10) || '>From you' || chr(10) || text, '(?m)^From ', '>From ', 'g') || chr(10)) AS entry_md5 FROM documents""")
+def mbox_entries(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    raw = F.encode(F.concat(F.lit("From me\r\n>From you\r"), "text"), "UTF-8")
+    entry = sinks.mbox_entry(raw, F.concat(F.lit("N <"), "source", F.lit("@x.org>")), F.lit(None).cast("timestamp"), sinks.folder_header(F.col("source"), F.col("lang")), F.lit(True))
+    return d.select("doc_id", F.md5(X.bytes_of(entry)).alias("entry_md5"))
+
+
+@query("""SELECT doc_id, md5(text) AS base64_md5, md5(text) AS charset_md5, 'é ' || source AS words FROM documents""")
+def decoders(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    noisy = F.concat(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "=+$", ""), F.lit("=ignored"))
+    return d.select("doc_id", F.md5(X.decode_base64_lenient(F.regexp_replace(noisy, "(.{76})", "$1\r\n*"))).alias("base64_md5"), F.md5(mail.text_of(F.encode("text", "UTF-8"), F.lit("us-ascii"))).alias("charset_md5"), mail.words(F.concat(F.lit("=?iso-8859-1?Q?=E9?= =?utf-8*en?B?"), F.base64(F.encode(F.concat(F.lit(" "), "source"), "UTF-8")), F.lit("?="))).alias("words"))
+
+
+@query(f"""WITH {MESSAGES} SELECT msg_key, CASE WHEN strlen(s) <= 200 THEN s END AS name, strlen(s) > 200 AS cut FROM (SELECT msg_key, CASE WHEN t = '' THEN 'zonder onderwerp' ELSE t END AS s FROM (SELECT msg_key, trim(regexp_replace('a:b ' || subject, '[/\\\\:?%*|"<>\\n\\r\\t]', '_', 'g'), ' ' || chr(9)) AS t FROM m))""".replace("\\\\\\\\", "\\\\"))
+def safe_names(spark, sf_dir):
+    name = X.safe_name(F.concat(F.lit("a:b "), "subject"))
+    cut = F.octet_length(X.strip(F.concat(F.lit("a:b "), "subject"))) > 200
+    return as_messages(spark, sf_dir).select("msg_key", F.when(~cut, name).alias("name"), cut.alias("cut"))
+
+
+@query("""SELECT p_brand AS directory, p_partkey, p_name || CASE WHEN rn = 1 THEN '' ELSE ' (' || rn || ')' END || '.eml' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS rn FROM part)""")
+def unique_file_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "directory")
+    return sinks.unique_names(p, "directory", "p_name", "p_partkey", ".eml").select("directory", "p_partkey", "file_name")
+
+
+@query("""SELECT page_id, src AS ref, CASE WHEN length(src) % 2 = 0 THEN 1 END AS att_no FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"\\s>)'']+)"', 1)) AS src FROM pages)""".replace("\\\\", "\\"))
+def content_references(spark, sf_dir):
+    """Links of pages read as cid: references; every other one has its attachment."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_key"), F.regexp_replace("html", "href=\"/([^\"\\s>)']+)\"", "href=\"CID:$1\"").alias("body_html"))
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("msg_key"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("href=\"/([^\"\\s>)']+)\""), F.lit(1)))).alias("content_id")).where(F.length("content_id") % 2 == 0).withColumn("att_no", F.lit(1))
+    return mime.content_references(p, files.withColumn("content_id", F.upper("content_id"))).select(F.col("msg_key").alias("page_id"), "ref", "att_no")
+
+
+@query("""SELECT s_suppkey, s_nationkey AS archive_no, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE 1 END, s_suppkey)::BIGINT AS place FROM supplier""")
+def natural_order(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    name = F.when(F.col("s_suppkey") % 9 == 0, "INBOX").otherwise(F.concat(F.lit("Folder "), "s_suppkey"))
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(folders.name_key(name), "s_suppkey"))
+    return s.select("s_suppkey", F.col("s_nationkey").alias("archive_no"), place.cast("long").alias("place"))
