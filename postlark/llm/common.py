@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,12 @@ def discard(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded(df: DataFrame, array_col: str, entries: int) -> DataFrame:
+    """``df`` marked for broadcast if all its arrays together have at most so many entries; else as it is."""
+    total = df.agg(F.sum(F.size(array_col) + 1)).first()[0] or 0
+    return F.broadcast(df) if total <= entries else df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix); wraps silently."""
     x = x.astype(np.uint64, copy=True)
