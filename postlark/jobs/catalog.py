@@ -112,11 +112,11 @@ def subtree_totals(spark, sf_dir):
     return folders.subtree_totals(rows).select("archive_id", "path", F.col("total_content_count").alias("total"))
 
 
-@query("""SELECT 'world' AS archive_id, path, (row_number() OVER (ORDER BY r_name, nk) - 1)::BIGINT AS folder_order FROM (
-SELECT r_name AS path, r_name, -1 AS nk FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT r_name || '/' || n_name, r_name, regexp_extract(n_name, '[0-9]+')::INT FROM nation JOIN region ON n_regionkey = r_regionkey)""")
+@query("""WITH l AS (SELECT r_name, n_name, n_nationkey AS nk, s_name, s_suppkey AS sk FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT archive_id, path, (row_number() OVER (PARTITION BY archive_id ORDER BY nk, sk) - 1)::BIGINT AS folder_order FROM (SELECT DISTINCT r_name AS archive_id, n_name AS path, nk, -1 AS sk FROM l UNION ALL SELECT r_name, n_name || '/' || s_name, nk, sk FROM l)""")
 def folder_preorder(spark, sf_dir):
-    n, r = (table(spark, sf_dir, t) for t in ("nation", "region"))
-    files = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.lit("world").alias("archive_id"), F.concat_ws("/", "r_name", "n_name").alias("folder_path"), "n_name").withColumnRenamed("n_name", "file_path")
+    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    files = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("archive_id"), F.concat_ws("/", "n_name", "s_name").alias("folder_path"), F.col("s_name").alias("file_path"))
     return folders.with_preorder(folders.folders_from_paths(files)).select("archive_id", "path", F.col("folder_order").cast("long").alias("folder_order"))
 
 
@@ -130,13 +130,14 @@ def folder_tree(spark, sf_dir):
     return folders.tree_from_parents(rows.withColumn("archive_id", F.lit("w")), F.col("folder_id") == "root").select("archive_id", "folder_id", "path", "depth")
 
 
-@query("""WITH f AS (SELECT 'w' AS archive_id, path, kind, n FROM (SELECT r_name AS path, 'mail' AS kind, 0 AS n FROM region UNION ALL SELECT r_name || '/' || CASE n_nationkey % 5 WHEN 0 THEN 'Inbox' WHEN 1 THEN 'Sync Issues' ELSE n_name END, CASE n_nationkey % 5 WHEN 0 THEN 'inbox' ELSE 'mail' END, 1 FROM nation JOIN region ON n_regionkey = r_regionkey))
-SELECT DISTINCT archive_id, path, CASE WHEN contains(path, '/') AND lift THEN split_part(path, '/', 2) ELSE path END AS shown_path FROM (SELECT *, bool_or(kind = 'inbox') OVER (PARTITION BY split_part(path, '/', 1)) AS lift FROM f WHERE NOT contains(path, 'Sync Issues')) WHERE NOT (lift AND NOT contains(path, '/') AND n = 0)""")
+@query("""WITH l AS (SELECT r_name AS archive_id, n_name AS top, CASE s_suppkey % 5 WHEN 0 THEN 'Inbox' WHEN 1 THEN 'Sync Issues ' || s_suppkey ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT DISTINCT archive_id, top AS path, top, name = 'x' AS inbox FROM l UNION SELECT archive_id, top || '/' || name, top, name = 'Inbox' FROM l WHERE NOT starts_with(name, 'Sync'))
+SELECT archive_id, path, CASE WHEN lift AND path <> top THEN substr(path, length(top) + 2) ELSE path END AS shown_path FROM (SELECT *, bool_or(inbox) OVER (PARTITION BY archive_id, top) AS lift FROM f) WHERE NOT (lift AND path = top)""")
 def visible_folders(spark, sf_dir):
-    n, r = (table(spark, sf_dir, t) for t in ("nation", "region"))
-    name = F.when(F.col("n_nationkey") % 5 == 0, "Inbox").when(F.col("n_nationkey") % 5 == 1, "Sync Issues").otherwise(F.col("n_name"))
-    rows = r.select(F.col("r_name").alias("path"), F.col("r_name").alias("name"), F.lit(0).alias("content_count"))
-    rows = rows.union(n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", name), name, F.lit(1))).withColumn("archive_id", F.lit("w")).distinct()
+    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    name = F.when(F.col("s_suppkey") % 5 == 0, "Inbox").when(F.col("s_suppkey") % 5 == 1, F.concat(F.lit("Sync Issues "), "s_suppkey")).otherwise(F.col("s_name"))
+    leaves = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("archive_id"), F.col("n_name").alias("top"), name.alias("name"))
+    rows = leaves.select("archive_id", F.col("top").alias("path"), F.col("top").alias("name"), F.lit(0).alias("content_count")).union(leaves.select("archive_id", F.concat_ws("/", "top", "name"), "name", F.lit(1))).distinct()
     rows = rows.withColumn("kind", folders.folder_kind(F.lit(""), F.lit(None).cast("string"), F.col("name")))
     return folders.visible(rows).select("archive_id", "path", "shown_path")
 
@@ -256,12 +257,13 @@ def sender_fields(spark, sf_dir):
     return e.select("event_id", properties.display(name, email).alias("shown"), properties.message_date(F.lit(None).cast("timestamp"), F.when(F.col("user_id") % 2 == 0, F.col("ts")), F.col("ts")).alias("date"))
 
 
-@query("""SELECT n_nationkey::BIGINT AS nid, CASE WHEN n_nationkey % 6 = 0 THEN 'sent' WHEN n_nationkey % 6 = 1 THEN 'trash' END AS special_kind FROM nation""")
+@query("""SELECT s_suppkey AS nid, CASE WHEN s_suppkey % 6 = 0 THEN 'sent' WHEN s_suppkey % 6 = 1 THEN 'trash' END AS special_kind FROM supplier""")
 def special_folders(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.lit("a").alias("archive_id"), F.col("n_nationkey").cast("long").alias("nid"))
-    little = F.unhex(F.concat(F.repeat(F.lit("AB"), F.lit(20)), F.lpad(F.hex("nid"), 2, "0"), F.lit("000000")))
-    entries = n.where("nid % 6 < 2").select("archive_id", F.when(F.col("nid") % 6 == 0, "sent").otherwise("trash").alias("kind"), little.alias("entry_id"))
-    return properties.special_folders(n, entries).select("nid", "special_kind")
+    s = table(spark, sf_dir, "supplier").select(F.lit("a").alias("archive_id"), F.col("s_suppkey").alias("nid"))
+    digits = F.lpad(F.hex("nid"), 8, "0")
+    little = F.unhex(F.concat(F.repeat(F.lit("AB"), F.lit(20)), *(F.substring(digits, i, 2) for i in (7, 5, 3, 1))))
+    entries = s.where("nid % 6 < 2").select("archive_id", F.when(F.col("nid") % 6 == 0, "sent").otherwise("trash").alias("kind"), little.alias("entry_id"))
+    return properties.special_folders(s, entries).select("nid", "special_kind")
 
 
 @query("""SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS seq, CASE role WHEN 'user' THEN 'to' || conv_id ELSE role END AS correspondent FROM conversations WHERE role <> 'system'""")
