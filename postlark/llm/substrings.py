@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlark.llm.common import discard, materialize, mix64
+from postlark.llm.common import bounded, discard, materialize, mix64
 
 LENGTH = 400
 GRAM = 100
@@ -41,8 +41,8 @@ CONTENTS_IN_SHARD = 30_000
 BATCH_SEGMENTS = 4096
 #: Segments of a shard on average.
 SEGMENTS_IN_SHARD = 20_000
-#: Texts whose segments or runs may be broadcast (under a kilobyte each, mostly); more are joined by shuffle.
-BROADCAST_DOCS = 200_000
+#: Segments or runs (some 50 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_ENTRIES = 400_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _HEAD = np.uint64(0xFFFFFF0000000000)
@@ -267,7 +267,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = F.struct("anchor", "content", "first", "last", "place", "m")
     requests = materialize(wanted.groupBy("doc", "text_hash").agg(F.collect_list(part).alias("parts")))  # at most a text's segments
     side = requests.withColumnRenamed("doc", "doc_")
-    asked = keyed.join(F.broadcast(side) if requests.count() <= BROADCAST_DOCS else side, "text_hash").where(F.col("doc").eqNullSafe(F.col("doc_")))
+    asked = keyed.join(bounded(side, "parts", BROADCAST_ENTRIES), "text_hash").where(F.col("doc").eqNullSafe(F.col("doc_")))
     piece = "anchor long, content long, place long, bytes binary, m long"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,10 +291,11 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = counted.join(twice, "string", "left_semi").select("anchor", "content", "low", F.col("low").alias("high"))
     whole = contents.where("n > 1").select("anchor", "content", F.lit(0).cast("long").alias("low"), (F.col("at.last") - F.col("at.first")).alias("high"))
     found = whole.unionByName(sharded).unionByName(spread).groupBy("anchor", "content").agg(F.collect_list(F.struct("low", "high")).alias("runs"))  # at most a segment's starts
+    found = materialize(found)  # apart from the join, so that a content of very many texts can be split there
     back = cut.join(found, ["anchor", "content"]).select("doc", "text_hash", F.transform("runs", lambda r: F.struct((F.col("first") + r["low"]).alias("low"), (F.col("first") + r["high"]).alias("high"))).alias("runs"))
     out = back.groupBy("doc", "text_hash").agg(F.flatten(F.collect_set("runs")).alias("runs"))  # a text's own segments
     out = materialize(out)
-    for table in (cut, contents, requests, pieces):
+    for table in (cut, contents, requests, pieces, found):
         discard(table)
     return out
 
@@ -336,6 +337,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     same = [keyed["__hash"] == side["__hash"], F.col(id_col).cast("long").eqNullSafe(F.col("__doc"))]
-    joined = keyed.join(F.broadcast(side) if ranges.count() <= BROADCAST_DOCS else side, same, "left")
+    joined = keyed.join(bounded(side, "runs", BROADCAST_ENTRIES), same, "left")
     return joined.withColumn("removal", remove(F.col(text_col).cast("string"), "runs")).drop("__hash", "__doc", "runs")
 
