@@ -9,7 +9,8 @@ Jaccard similarity); four samples make a band, and texts that share a band meet.
 Within a band's bucket all texts are paired with one of them, not with each other.
 Pairs are verified on their whole texts by weighted Jaccard similarity; linked texts
 form components.  Buckets that still hold several components get other
-representatives and another round, until a round links nothing new.
+representatives and another round, until a round links nothing new; then all pairs
+of a bucket that are in different components and weren't tried yet are compared.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BROADCAST_IDS = 1_000_000
 TEXTS_AT_ONCE = 64
 #: Pairs of representatives of a bucket in a turn after the first.
 REPRESENTATIVES = 3
+#: Texts of a bucket that a row holds at once when all pairs are compared.
+LIST = 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -210,6 +213,35 @@ def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series((a == np.frombuffer(b"".join(right), np.uint32).reshape(a.shape)).sum(1), dtype="int64")
 
 
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of two components, with these (ca, cb)."""
+    return pairs.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca <> cb")
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after new links: components of components, only new links count.  Both tables go."""
+    joined = components(_between(found, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    fresh = materialize(labels.join(joined.toDF("component", "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+    for old in (labels, joined, found):
+        discard(old)
+    return fresh
+
+
+def _untried(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts that share a band and are in different components.
+
+    One of such two at least is outside the band's largest component, so all members
+    meet lists of those outside it.
+    """
+    placed = member.join(labels.withColumnRenamed("node", "text_key"), "text_key")
+    counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1").selectExpr("band", "top.component main", "all - top.n outside")
+    part = F.pmod(F.xxhash64("text_key"), F.ceil(F.col("outside") / LIST))
+    lists = placed.join(sizes, "band").where("component <> main").groupBy("band", part.alias("part")).agg(F.collect_list(F.struct("text_key", "component")).alias("others"))  # about LIST of them
+    met = placed.join(lists, "band").select("text_key", F.explode(F.filter("others", lambda o: o["component"] != F.col("component"))).alias("o"))
+    return met.select(F.least("text_key", "o.text_key").alias("a"), F.greatest("text_key", "o.text_key").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: ``id_col``, ``class_id`` (the smallest id of its class) and ``n_class`` (rows in the class).
 
@@ -260,17 +292,22 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             if turn:
                 break
         else:
-            # Components of components: only new links count.
-            ca, cb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
-            joined = components(found.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            fresh = materialize(labels.join(joined.toDF("component", "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-            for old in (labels, joined, found):
-                discard(old)
-            labels = fresh
+            labels = _merged(labels, found)
             tried, before = (likely, None) if tried is None else (materialize(tried.union(likely)), tried)
             for old in (before, likely) if before is not None else ():
                 discard(old)
         turn += 1
+    # What no turn has tried: one pair of each two components first, then those that still are between components.
+    left = _untried(member, labels)
+    left = left if tried is None else left.join(tried, ["a", "b"], "left_anti")
+    left = materialize(left.join(samples.toDF("a", "sa"), "a").join(samples.toDF("b", "sb"), "b").where(_agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b"))
+    apart = _between(left, labels)
+    one = materialize(apart.groupBy(F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+    labels = _merged(labels, materialize(_verified(one, texts, shared, similarity)))
+    rest = materialize(_between(left, labels).select("a", "b").join(one, ["a", "b"], "left_anti"))
+    labels = _merged(labels, materialize(_verified(rest, texts, shared, similarity)))
+    for old in (left, one, rest):
+        discard(old)
     classes = rows.select("id", "text_key").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").select("id", F.coalesce("component", "text_key").alias("component"))
     classes = materialize(classes)
     for old in (rows, member, candidates, texts, samples, labels, *([] if tried is None else [tried])):

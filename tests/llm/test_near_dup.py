@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from postlark.llm import near_dup
 from postlark.llm.words import find_words, hash_words
@@ -62,6 +63,18 @@ def test_classes_match_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values())) and kept[0].class_id == "x"
 
 
+def test_pairs_among_many_strangers_of_a_bucket(spark, monkeypatch):
+    sketches = near_dup._sketches
+    monkeypatch.setattr(near_dup, "_sketches", lambda *given: sketches(*given).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(7).cast("long")))))
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(150)]
+    texts += [t.rsplit(" ", 1)[0] + " last" for t in texts[:12]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs).collect()}
+    assert got == {i: i - 150 if i >= 150 else i for i in range(len(texts))}
+
+
 def test_weighted_jaccard_and_sampling():
     weight_of = np.ones(1 << near_dup.FREQUENCY_BITS, np.float32)
     a, b = "a b c d e f", "a b c d e f f"  # shingles abcde bcdef | abcde bcdef cdeff
