@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from postlark.llm.common import discard, materialize
 
+#: Copies of one row that are made from their count at once.
+COPIES_AT_ONCE = 1000
+
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -84,6 +87,21 @@ def _depths(calls: DataFrame) -> DataFrame:
         step = after
 
 
+def _others(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows that share (conv_id, call_id) with a winner, but for one row like the winner itself.
+
+    The join splits where an identifier is hot.  Rows like the winner are only counted,
+    and made anew from the count in pieces.
+    """
+    key, rest = rows.columns[:2], rows.columns[2:]
+    own = winners.select(*key, F.struct(*rest).alias("won"))
+    marked = materialize(rows.join(own, key).select(*rows.columns, F.struct(*rest).eqNullSafe(F.col("won")).alias("like")))
+    like = marked.where("like").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pieces = like.select("*", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"), F.lit(COPIES_AT_ONCE).cast("long"))).alias("low"))
+    copies = pieces.select(*rows.columns, F.explode(F.sequence("low", F.least("n", F.col("low") + COPIES_AT_ONCE - 1))))
+    return marked.where(~F.col("like")).select(*rows.columns).unionByName(copies.select(*rows.columns))
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per call or unmatched result, in a form ready to serialise.
 
@@ -93,7 +111,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     ``orphan`` (a result without call), ``duplicate`` (an identifier used again: the
     first by turn, name and arguments counts) or ``anonymous`` (no conversation or
     identifier).  Of several results of one call the first by turn and content is
-    linked, the others are orphans.  ``depth`` orders calls topologically, null for
+    linked, the others are orphans.  Every call and result has its row: a linked row
+    holds one of each, all others hold one call or one result.  ``copies_of_call`` and
+    ``copies_of_result`` count the rows of the identifier; duplicates, the results
+    beside the first and anonymous rows count themselves only.  ``depth`` orders calls topologically, null for
     calls on a cycle or behind one, and for calls that aren't linked to an order
     (duplicates, anonymous ones).  ``valid`` and ``errors`` tell whether the arguments
     fit the schema; ``json`` is the call with its result as canonical JSON.
@@ -102,6 +123,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     calls = calls.select(*key, F.col("turn").cast("long"), "name", "arguments", F.col("after").cast("string"))
     results = results.select(*key, F.col("turn").cast("long").alias("result_turn"), "content")
+    calls, results = materialize(calls), materialize(results)
     # An identifier may repeat in very many rows: one row of it is found by aggregation, with a partial result in each task.
     call, result = F.struct("turn", "name", "arguments", "after"), F.struct("result_turn", "content")
     first = calls.where(named).groupBy(*key).agg(F.min(call).alias("c"), F.count(F.lit(1)).alias("n"))
@@ -111,8 +133,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                            F.coalesce(F.col("n"), F.lit(0)).alias("copies_of_call"), F.coalesce(F.col("m"), F.lit(0)).alias("copies_of_result"))
     loose = calls.where(~named).selectExpr(*key, "turn", "name", "arguments", "after", "cast(null as bigint) result_turn", "cast(null as string) content", "'anonymous' status", "1L copies_of_call", "0L copies_of_result")
     lost = results.where(~named).selectExpr(*key, "cast(null as bigint) turn", "cast(null as string) name", "cast(null as string) arguments", "cast(null as string) after", "result_turn", "content", "'anonymous' status", "0L copies_of_call", "1L copies_of_result")
+    again = _others(calls, first.where("n > 1").select(*key, "c.*")).selectExpr(*key, "turn", "name", "arguments", "after", "cast(null as bigint) result_turn", "cast(null as string) content", "'duplicate' status", "1L copies_of_call", "0L copies_of_result")
+    later = _others(results, answer.where("m > 1").select(*key, "r.*")).selectExpr(*key, "cast(null as bigint) turn", "cast(null as string) name", "cast(null as string) arguments", "cast(null as string) after", "result_turn", "content", "'orphan' status", "0L copies_of_call", "1L copies_of_result")
     depth = _depths(first.select(*key, "c.after"))
-    rows = linked.join(depth, key, "left").unionByName(loose.unionByName(lost).withColumn("depth", F.lit(None).cast("long")))
+    apart = loose.unionByName(lost).unionByName(again).unionByName(later)
+    rows = linked.join(depth, key, "left").unionByName(apart.withColumn("depth", F.lit(None).cast("long")))
 
     @F.pandas_udf("valid boolean, errors string, json string")
     def serialise(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:

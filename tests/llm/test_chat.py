@@ -33,6 +33,21 @@ def test_link(spark):
     assert sum(r.status == "anonymous" for r in out) == 3
 
 
+@pytest.mark.parametrize("at_once", [2, 1000])
+def test_every_call_and_result_has_its_row(spark, monkeypatch, at_once):
+    monkeypatch.setattr(chat, "COPIES_AT_ONCE", at_once, raising=False)
+    calls = [(1, "x", 1, "add", '{"a": 1}', None, "-")] * 6 + [(1, "x", 3, "add", '{"a": 2}', None, "-")] * 2 + [(1, "x", 3, None, None, None, "-"), (1, "y", 1, "add", "{}", "x", "-"), (None, "x", 1, "add", "{}", None, "-")]
+    results = [(1, "x", 2, "one")] * 3 + [(1, "x", 4, "two"), (1, "w", 2, None), (1, "w", 2, None), (1, "w", 3, "z"), (1, None, 3, "z")]
+    out = chat.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMAS).collect()
+    called = [(r.conv_id, r.call_id, r.turn, r.name, json.loads(r.json)["arguments"]) for r in out if r.turn is not None]
+    assert sorted(called, key=str) == sorted([(c, i, t, n, a and json.loads(a)) for c, i, t, n, a, _, _ in calls], key=str)
+    answered = [(r.conv_id, r.call_id, r.result_turn, json.loads(r.json)["result"]) for r in out if r.result_turn is not None]
+    assert sorted(answered, key=str) == sorted(results, key=str)
+    assert len(out) == len(calls) + len(results) - 1
+    status = [r.status for r in out]
+    assert (status.count("linked"), status.count("duplicate"), status.count("orphan"), status.count("anonymous")) == (1, 8, 6, 2)
+
+
 def test_exchanges(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "hello"), (1, 3, "user", None), (2, 0, "assistant", "first"), (3, 0, "user", "do"),
              (3, 1, "assistant", '{"tool_calls": [{"id": "t1", "name": "add", "arguments": "{\\"a\\": 4}"}]}'), (3, 2, "tool", '{"tool_call_id": "t1", "content": "5"}'), (3, 3, "assistant", "five"), (None, None, None, None)]
