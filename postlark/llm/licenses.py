@@ -3,7 +3,8 @@
 A notice of n characters may match with up to k edits.  Cut into k + 1 parts, at
 least one part must occur unchanged (pigeonhole), so exact searches for the parts
 find every candidate place; there the bounded-error matching of the ``regex``
-library decides and gives the span and the number of edits.
+library decides and gives the span and the number of edits.  Runs of separators
+(line ends, comment signs, indents) count as one blank.
 """
 
 from __future__ import annotations
@@ -82,6 +83,16 @@ def _fuzzy(plain: bytes, text: str) -> Iterator[tuple[int, int, int]]:
             yield m.start(), m.end(), sum(m.fuzzy_counts)
 
 
+def _collapsed(plain: bytes) -> tuple[bytes, np.ndarray]:
+    """The text with one blank for each run of blanks, and the place of each byte that is left."""
+    found = np.frombuffer(plain, np.uint8)
+    blank = found == 32
+    stays = np.ones(len(found), bool)
+    stays[1:] = ~(blank[1:] & blank[:-1])
+    places = np.nonzero(stays)[0]
+    return found[places].tobytes(), places
+
+
 def scan(text: str | None) -> tuple:
     """Counts, base places and fuzzy matches (label, start and end in characters, edits) of one text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -100,8 +111,10 @@ def scan(text: str | None) -> tuple:
             places.append(int(begins[at]) - 1)
             base_labels.add(label)
     matches, best = [], 1.0 if places else 0.0
+    single, origin = _collapsed(plain)
     for notice, label in NOTICES.items():
-        for start, end, edits in _fuzzy(plain, notice):
+        for low, high, edits in _fuzzy(single, notice):
+            start, end = int(origin[low]), int(origin[high - 1]) + 1
             first = len(raw[:start].decode("utf-8", "replace"))
             matches.append((label, first, first + len(raw[start:end].decode("utf-8", "replace")), edits))
             best = max(best, 1 - edits / len(notice))

@@ -39,6 +39,14 @@ def test_fuzzy_matches_and_spans():
     assert licenses.scan("nothing here, all night reversed")[5] == ""
 
 
+@pytest.mark.parametrize("text, span, label", [
+    ("é # All rights\n# reserved.", "All rights\n# reserved", "proprietary"), ("All   rights    reserved.", "All   rights    reserved", "proprietary"), ("// Mozilla Public\n// License", "Mozilla Public\n// License", "mpl"),
+    ("# Released under\n# the MIT license", "Released under\n# the MIT license", "mit"), ("    * Permission is hereby granted,\n     * free of charge", "Permission is hereby granted,\n     * free of charge", "mit")])
+def test_wrapped_and_indented_notices(text, span, label):
+    (found, start, end, edits), = licenses.scan(text)[7]
+    assert (found, text[start:end], edits) == (label, span, 0)
+
+
 @pytest.mark.parametrize("notice", licenses.NOTICES)
 def test_pigeonhole_finds_every_close_variant(notice):
     edits = len(notice) // licenses.CHARS_PER_EDIT
