@@ -2,16 +2,19 @@
 
 1. toxicity: documents that the classifier rejects (at their language's threshold) go.
 2. lines: repeated and nearly repeated lines go; every document stays, if need be with an empty text.
-3. near_duplicates: of each class of near-duplicates the document with the smallest id stays.
+3. near_duplicates: of each class of near-duplicates the document with the smallest id stays; documents of whose words
+   line dedup left none are copies and go.
 4. decontamination: documents that overlap a benchmark item go.
 5. packing: what is left is cut into sequences of token ids.
 
 Each stage reads what its predecessor wrote.  Stages 1 to 4 return the columns of
-their input; null or empty texts pass all of them and pack as one end id.
+their input; documents whose text is null or empty from the start pass all of them and pack as one end id.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +36,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Texts that line dedup has emptied aren't documents of one class: they pass.
-    empty = F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0
-    return near_dup.keep_one(docs.where(~empty)).unionByName(docs.where(empty))
+    # A text without words that stands so in the documents is as it was; all others without words were left so by line
+    # dedup: their lines stand in other documents, so they are copies and go.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    wordless = F.size(lines.words(text)) == 0
+    rest, bare = docs.where(~wordless), docs.where(wordless)
+    given = table(spark, sf_dir, "documents").select(*docs.columns).where(wordless).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in docs.columns])
+    unchanged = materialize(bare.alias("d").join(given.alias("g"), same, "left_semi"))
+    # Empty texts (blanks and line ends at most) aren't documents of one class: they pass.
+    empty = ~text.rlike(r"\S")
+    return near_dup.keep_one(materialize(rest.unionByName(unchanged.where(~empty)))).unionByName(unchanged.where(empty))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

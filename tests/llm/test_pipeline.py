@@ -63,4 +63,16 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     packed = {r.doc_id for r in out}
     assert not packed & (of("toxic") | of("leak")) and of("empty") <= packed
+    assert not packed & {i for i, k in kinds.items() if k[0] == "copy"} and {1, 2, 3} <= packed | of("toxic")
     assert all(sum(r.length for r in out if r.doc_id == d) == next(r.doc_tokens for r in out if r.doc_id == d) for d in list(packed)[:20])
+
+
+def test_copies_left_without_words_go(spark, tmp_path):
+    body = "one line of some words\n\n--\nanother line with other words"
+    rows = [(1, body), (2, body), (2, body), (3, "one line of some words"), (4, ""), (5, None), (6, ""), (7, " \n"), (8, "--"), (9, "alone among all of them")]
+    schema = "doc_id long, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    lined = corpus_pipeline.materialize(stages["lines"](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)))
+    left = sorted(r.doc_id for r in stages["near_duplicates"](spark, lined, str(tmp_path)).collect())
+    assert left == [1, 4, 5, 6, 7, 8, 9]
