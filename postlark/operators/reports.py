@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlark.functions import text as X
+
 
 def export_report(rows: DataFrame) -> DataFrame:
     """One row of counts over ``status``: written, duplicate, miss, failure."""
@@ -18,10 +20,13 @@ def result_counts(rows: DataFrame, match: Column) -> DataFrame:
 
 
 def incomplete_warning(failures: DataFrame, names: int = 3) -> DataFrame:
-    """Unreadable folders (how many, the first names) and unreadable messages, by archive."""
+    """Unreadable folders (how many, the first names in order) and unreadable messages, by archive."""
     folder = F.col("msg_key").isNull()
-    return failures.groupBy("archive_id").agg(F.count_if(folder).alias("folders"), F.count_if(~folder).alias("messages")).join(
-        first_failures(failures.where(folder), names).groupBy("archive_id").agg(F.array_sort(F.collect_list("location")).alias("first_folders")), "archive_id", "left")
+    place = Window.partitionBy("archive_id").orderBy("location")
+    first = failures.where(folder).select("archive_id", "location").distinct().withColumn("n", F.row_number().over(place)).where(F.col("n") <= names)
+    named = first.groupBy("archive_id").agg(F.array_sort(F.collect_list("location")).alias("first_folders"))
+    counts = failures.groupBy("archive_id").agg(F.count_if(folder).alias("folders"), F.count_if(~folder).alias("messages"))
+    return counts.join(named, "archive_id", "left").withColumn("first_folders", F.coalesce("first_folders", F.array().cast("array<string>")))
 
 
 def first_failures(failures: DataFrame, n: int) -> DataFrame:
@@ -57,3 +62,16 @@ def correspondent(folder_kind: Column, sender: Column, to: Column, cc: Column) -
 def listing(messages: DataFrame) -> DataFrame:
     """Folder, then date, sender, subject and attachment mark of each message."""
     return messages.select("archive_id", "folder_path", "seq", "date", "from_name", "subject", F.when(F.col("flags").bitwiseAND(16) != 0, "+").otherwise("").alias("mark"))
+
+
+def reference_listing(messages: DataFrame, attachments: DataFrame, key: str = "msg_key") -> DataFrame:
+    """Folder, trimmed subject and number of attachments of each message, for a comparison of two runs."""
+    counts = attachments.groupBy(key).agg(F.count(F.lit(1)).alias("n_attachments"))
+    rows = messages.join(counts, key, "left")
+    return rows.select("archive_id", "folder_path", X.strip(F.coalesce("subject", F.lit("")), X.BLANK_OR_LINE_END).alias("subject"), F.coalesce("n_attachments", F.lit(0).cast("long")).alias("n_attachments"))
+
+
+def write_listing(rows: DataFrame, path: str, *order: str) -> None:
+    """A listing as tab-separated text in order of its columns (or of ``order``); part files follow each other."""
+    wanted = order or tuple(rows.columns)
+    rows.repartitionByRange(*wanted).sortWithinPartitions(*wanted).write.mode("error").option("sep", "\t").option("timestampFormat", "yyyy-MM-dd HH:mm").csv(path)
