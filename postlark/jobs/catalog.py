@@ -334,7 +334,7 @@ def mail_text(spark, sf_dir) -> DataFrame:
     lines = F.concat_ws("\r\n", F.concat(F.lit("X-Mozilla-Status: "), F.when(F.col("doc_id") % 10 == 0, "0009").when(F.col("doc_id") % 3 == 0, "0000").otherwise("0001")), F.concat(F.lit("SUBJECT : Note\r\n\tnumber "), "doc_id"), F.concat(F.lit("From: \"Src, "), "source", F.lit("\" <"), "source", F.lit("@x.org>")),
                         F.concat(F.lit("To: a@x.org, B <b@x.org>;\r\n "), "lang", F.lit("@x.org (L)")), F.concat(F.lit("X-Priority: "), (F.col("doc_id") % 6).cast("string")), F.lit("Date: 4 Nov 99 12:00 MET"), F.lit("Content-Type: text/plain; charset=\"UTF-8\""), F.lit(">From garbage"), F.concat(F.lit("Message-ID: <"), "doc_id", F.lit("@x>")))
     raw = F.encode(F.concat(lines, F.lit("\r\n\r\n"), "text"), "UTF-8")
-    return d.select(F.lit("a").alias("archive_id"), F.col("lang").alias("folder_path"), F.col("lang").alias("file_path"), F.lit(0).cast("long").alias("block"), F.col("doc_id").alias("mid"), F.lit("From - Thu Nov 04 12:00:00 1999").alias("sep_line"), raw.alias("raw"), F.octet_length(raw).cast("long").alias("size"))
+    return d.select(F.lit("a").alias("archive_id"), F.col("lang").alias("folder_path"), F.col("lang").alias("file_path"), F.expr("doc_id div 1000").alias("block"), F.col("doc_id").alias("mid"), F.lit("From - Thu Nov 04 12:00:00 1999").alias("sep_line"), raw.alias("raw"), F.octet_length(raw).cast("long").alias("size"))
 
 
 @query("""SELECT lang AS folder_path, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::BIGINT AS seq, 'Note number ' || doc_id AS subject, 'Src, ' || source AS from_name, source || '@x.org' AS from_email, 'a@x.org; B; L' AS to_list, TIMESTAMP '1999-11-04 11:00:00' AS date,
@@ -356,8 +356,7 @@ def mime_parts(spark, sf_dir):
     name = F.concat(F.lit("filename*=iso-8859-1''d%F6%20c"), "doc_id", F.lit(".bin"))
     raw = F.concat_ws("\n", F.lit("Content-Type: multipart/mixed;"), F.lit(" boundary=\"b 1\""), F.lit(""), F.lit("preamble"), F.lit("--b 1"), F.lit("Content-Type: text/plain; charset=utf-8"), F.lit("Content-Transfer-Encoding: base64"), F.lit(""), F.base64(F.encode("text", "UTF-8")), F.lit("--b 1 "),
                       F.lit("Content-Type: application/octet-stream"), F.concat(F.lit("Content-Disposition: attachment; "), name), F.lit("Content-Transfer-Encoding: BASE64"), F.lit(""), F.base64(F.encode("source", "UTF-8")), F.lit("--b 1--"), F.lit("epilogue"))
-    parts = mime.with_text(mime.decoded(mime.explode_parts(d.select(F.col("doc_id").alias("msg_key"), F.encode(raw, "UTF-8").alias("raw")))))
-    out = mime.bodies_and_attachments(parts)
+    out = mime.bodies_and_attachments(mime.message_parts(d.select(F.col("doc_id").alias("msg_key"), F.encode(raw, "UTF-8").alias("raw"))))
     a = F.get("attachments", 0)
     return out.select(F.col("msg_key").alias("doc_id"), F.md5("body_text").alias("plain_md5"), F.size("attachments").cast("long").alias("n_attachments"), a["filename"].alias("filename"), F.md5(a["payload"]).alias("payload_md5"), a["size"].alias("size"))
 
@@ -371,7 +370,7 @@ def built_messages(spark, sf_dir):
                  F.concat(F.lit("é "), "source").alias("subject"), F.lit(None).cast("timestamp").alias("date"), nothing.alias("message_id"), F.lit("IPM.Note").alias("message_class"), F.col("text").alias("body_text"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("body_html"),
                  F.array(F.struct(F.lit("a.bin").alias("filename"), F.lit(1).alias("method"), F.lit("x/y").alias("mime_type"), F.lit("").alias("content_id"), F.encode("source", "UTF-8").alias("payload"))).alias("attachments"), F.lit(None).cast("binary").alias("raw"))
     built = sinks.build_eml(m).select("msg_key", F.col("eml").alias("raw"))
-    out = mime.bodies_and_attachments(mime.with_text(mime.decoded(mime.explode_parts(built))))
+    out = mime.bodies_and_attachments(mime.message_parts(built))
     heads = mbox.with_headers(built).select("msg_key", mail.words(X.header(F.col("headers"), "Subject")).alias("subject"), F.get(mail.addresses(X.header(F.col("headers"), "From")), 0)["name"].alias("from_name"))
     return out.join(heads, "msg_key").select(F.col("msg_key").alias("doc_id"), F.md5("body_text").alias("plain_md5"), F.md5("body_html").alias("html_md5"), "subject", "from_name")
 

@@ -2,63 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlark.functions import text as X
+from postlark.jobs import messages
 from postlark.operators import dedupe, folders, reports, search, sinks
 from postlark.sources import mbox
+from postlark.storage import materialize, small
 
 
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """List rows of all archives, in the order given, with folders in pre-order and the original bytes."""
+    """List rows of all archives, in the order given, with the original bytes and ``folder_order``: each mail file's place in pre-order.
+
+    Two files of one folder path (``A`` and ``A.mbox``) have places of their own, so
+    (archive_no, folder_order, seq) identifies a message, as does (archive_no, msg_key).
+    """
     rows = dedupe.union_archives([mbox.message_summaries(mbox.read_mbox(spark, p)) for p in paths])
-    places = folders.with_preorder(rows.select("archive_no", "archive_id", "folder_path", F.lit(None).cast("string").alias("file_path")).select("archive_id", "folder_path", "file_path").distinct(), "folder_path")
-    return rows.join(F.broadcast(places.select("archive_id", "folder_path", "folder_order")), ["archive_id", "folder_path"])  # one row for each mail file
+    files = dedupe.union_archives([mbox.classify_files(spark, p).where("kind = 'mbox'").select(F.col("path").alias("file_path"), mbox.folder_path(F.col("rel_path")).alias("path")) for p in paths])
+    order = F.row_number().over(Window.partitionBy("archive_no").orderBy(folders.preorder_keys(F.col("path")), "file_path")) - 1
+    return rows.join(small(files.select("archive_no", "file_path", order.alias("folder_order"))), ["archive_no", "file_path"])
+
 
+KEYS = ["archive_no", "folder_order", "seq"]
 
-def decide(messages: DataFrame, query: str = "", folder: str = "", match=None) -> DataFrame:
-    """Add ``status`` to the messages of matching folders: written, duplicate, miss or failure.
 
-    Optional columns ``recipient_error`` and ``body_error`` make a message unreadable:
-    a match that can't be read and a miss that may be wrong are failures, and an
-    unreadable copy doesn't hide a readable one.
+def decide(rows: DataFrame, query: str = "", folder: str = "", match: Column | None = None, search_bodies: bool = False) -> DataFrame:
+    """Add ``status`` (written, duplicate, miss or failure) and ``reason`` (of a failure) to the rows of matching folders.
+
+    Optional columns tell what couldn't be read of a message: ``recipient_error``,
+    ``body_error`` and ``attachment_error``.  Any of them makes a match a failure, and
+    an unreadable copy doesn't hide a readable one.  A miss is a failure too if what
+    was searched couldn't be read; bodies and attachments count only with ``search_bodies``.
     """
-    rows = messages.where(search.in_folder(folder))
+    rows = rows.where(search.in_folder(folder))
     hit = search.in_list(query) if match is None else match
-    errors = [F.col(c) for c in ("recipient_error", "body_error") if c in rows.columns]
-    error = F.coalesce(*errors) if errors else F.lit(None).cast("string")
-    rows = rows.withColumn("status", F.when(error.isNotNull(), "failure").when(~hit, "miss").otherwise("candidate"))
-    keys = rows.where("status = 'candidate'").select("archive_no", "folder_order", "seq", "archive_id", "message_id")
-    marked = dedupe.once_per_message_id(keys).select("archive_no", "folder_order", "seq", "first_copy")
-    joined = rows.join(marked, ["archive_no", "folder_order", "seq"], "left")
+    given = lambda *names: F.coalesce(*(F.col(c) for c in names if c in rows.columns), F.lit(None).cast("string"))
+    all_errors = given("recipient_error", "body_error", "attachment_error")
+    searched = all_errors if search_bodies else given("recipient_error")
+    reason = F.when(hit, all_errors).otherwise(searched)
+    rows = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNotNull(), "failure").when(~hit, "miss").otherwise("candidate"))
+    marked = dedupe.once_per_message_id(rows.where("status = 'candidate'").select(*KEYS, "archive_id", "message_id")).select(*KEYS, "first_copy")
+    joined = rows.join(marked, KEYS, "left")
     return joined.withColumn("status", F.when(F.col("status") != "candidate", F.col("status")).when(F.col("first_copy"), "written").otherwise("duplicate")).drop("first_copy")
 
 
-def export(spark: SparkSession, paths: list[str], output: str, query: str = "", folder: str = "", append: bool = False) -> DataFrame:
-    """Write the matching messages as mbox text and return the report."""
+def failures(decided: DataFrame) -> DataFrame:
+    """(archive_id, location, msg_key, reason) of the messages that couldn't be read or searched completely."""
+    return decided.where("status = 'failure'").select("archive_id", F.concat(search.location(), F.lit(" / "), X.shown_subject(F.col("subject"))).alias("location"), F.col("msg_key").cast("string").alias("msg_key"), "reason")
+
+
+def unreadable_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Failures of whole folders: mail files that couldn't be opened."""
+    found = [mbox.classify_files(spark, p).where("kind = 'unreadable'").select(F.lit(p.rstrip("/").rsplit("/", 1)[-1]).alias("archive_id"), mbox.folder_path(F.col("rel_path")).alias("folder_path")) for p in paths]
+    rows = dedupe.union_archives(found)
+    return rows.select("archive_id", search.location().alias("location"), F.lit(None).cast("string").alias("msg_key"), F.lit("file cannot be opened").alias("reason"))
+
+
+def export(spark: SparkSession, paths: list[str], output: str, query: str = "", folder: str = "", append: bool = False, search_bodies: bool = False, failures_path: str | None = None) -> DataFrame:
+    """Write the matching messages as mbox text and return the report; failures go to a Parquet table if it has a path.
+
+    List fields are searched first, then complete addresses and, with
+    ``search_bodies``, plain bodies and attachment names.  Decisions are made once, on
+    keys; what is written and what is reported are both read from them.
+    """
     sinks.refuse_overlap(spark, output, *paths)
-    rows = decide(read_archives(spark, paths), query, folder)
+    rows = read_archives(spark, paths)
+    searched = messages.searchable(rows, search_bodies) if query.strip() else rows
+    match = search.in_list(query) | (search.with_bodies(query) if search_bodies else search.with_addresses(query)) if query.strip() else F.lit(True)
+    decided = materialize(decide(searched, query, folder, match, search_bodies).select(*KEYS, "archive_id", "folder_path", "msg_key", "subject", "status", "reason"))
+    wanted = rows.join(small(decided.where("status = 'written'").select(*KEYS)), KEYS, "left_semi")
     entry = sinks.mbox_entry(F.col("raw"), F.col("from_email"), F.col("header_date"), sinks.folder_header(F.col("archive_id"), F.col("folder_path")), F.lit(True))
-    sinks.write_mbox(rows.where("status = 'written'").withColumn("entry", entry), output, append=append)
-    return reports.export_report(rows)
+    sinks.write_mbox(wanted.select(*KEYS, entry.alias("entry")), output, tuple(KEYS), append=append)
+    if failures_path:
+        failures(decided).unionByName(unreadable_files(spark, paths)).write.mode("error").parquet(failures_path)
+    return reports.export_report(decided)
 
 
-def folder_list(messages: DataFrame) -> DataFrame:
+def folder_list(rows: DataFrame) -> DataFrame:
     """Folders with their own and all counts, in list order."""
-    counts = folders.message_counts(messages, "archive_id", "folder_path").withColumnRenamed("folder_path", "path")
-    tree = folders.folders_from_paths(messages.select("archive_id", "folder_path", F.lit("-").alias("file_path")).distinct())
+    counts = folders.message_counts(rows, "archive_id", "folder_path").withColumnRenamed("folder_path", "path")
+    tree = folders.folders_from_paths(rows.select("archive_id", "folder_path", F.lit("-").alias("file_path")).distinct())
     joined = tree.join(counts, ["archive_id", "path"], "left").fillna(0, ["content_count", "unread_count"])
     totals = folders.subtree_totals(joined, ("content_count", "unread_count"))
     return folders.with_preorder(joined.join(totals, ["archive_id", "path"])).select("archive_id", "folder_order", "path", "name", "depth", "content_count", "unread_count", "total_content_count", "total_unread_count")
 
 
-def body_search(messages: DataFrame, query: str) -> DataFrame:
+def body_search(rows: DataFrame, query: str) -> DataFrame:
     """Search list fields, then bodies of what they miss; newest first, undated last."""
-    listed = messages.where(search.in_list(query))
-    deeper = messages.where(~search.in_list(query)).where(search.with_bodies(query))
+    listed = rows.where(search.in_list(query))
+    deeper = rows.where(~search.in_list(query)).where(search.with_bodies(query))
     return listed.unionByName(deeper).orderBy(*reports.newest_first("archive_id", "msg_key"))
 
 
-def shown_subject(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("subject", X.shown_subject(F.col("subject")))
+def shown_subject(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("subject", X.shown_subject(F.col("subject")))
+
+
+def archive_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Mail files, bytes, folders, messages, unread and expunged ones of each archive."""
+    raw = [mbox.read_mbox(spark, p) for p in paths]
+    files = dedupe.union_archives([mbox.classify_files(spark, p).where("kind in ('mbox', 'empty')").select(F.lit(p.rstrip("/").rsplit("/", 1)[-1]).alias("archive_id"), "size_bytes", mbox.folder_path(F.col("rel_path")).alias("folder_path"), F.col("path").alias("file_path")) for p in paths])
+    rows = dedupe.union_archives([mbox.message_summaries(r) for r in raw])
+    expunged = dedupe.union_archives([mbox.expunged_counts(r) for r in raw]).groupBy("archive_id").agg(F.sum("expunged").alias("expunged"))
+    return folders.archive_facts(files, folders.folders_from_paths(files), folders.message_counts(rows, "archive_id", "folder_path"), expunged)

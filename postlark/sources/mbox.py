@@ -2,52 +2,71 @@
 
 Files are split by Spark's text source at line ends before 'From ', so a large
 file is read by many tasks.  A 'From ' line starts a message only if it carries a
-time and a header field follows; files with other 'From ' lines in their texts are
-put together again in a window over those files only.
+time and a header field follows; messages with other 'From ' lines in their texts are
+put together again, by counts of true starts in each block of a file.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlark.functions import mail
 from postlark.functions import text as X
+from postlark.storage import materialize, small
 
-_HEAD = 65536
+#: Bytes of a file's head that are read at first, and as far as a line end is looked for.
+_FIRST, _HEAD = 1024, 65536
 _LISTED = "path string, rel_path string, size_bytes long, kind string, eol string"
+_OPENERS = 32
 
 
 def classify_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, size_bytes, kind, eol) of all files under ``root``; kind is mbox, empty, pst or other.
+    """(path, rel_path, size_bytes, kind, eol) of all files under ``root``; kind is mbox, empty, pst, other or unreadable.
 
-    Only the listing and each file's first 64 KB are looked at.  Hidden files (a
-    leading dot) are left out.
+    The driver lists the files, as Spark's own file sources do, and looks at the first
+    KB of each, many at a time (up to 64 KB where no line end comes sooner).  Hidden
+    files (a leading dot) are left out; those that can't be opened are unreadable.
     """
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
     base = fs.makeQualified(base)
-    rows, found = [], fs.listFiles(base, True)
-    prefix = base.toString().rstrip("/")
+    prefix, found, files = base.toString().rstrip("/"), fs.listFiles(base, True), []
     while found.hasNext():
         status = found.next()
-        path, size = status.getPath().toString(), status.getLen()
+        path = status.getPath().toString()
         rel = path[len(prefix) + 1:] or status.getPath().getName()
-        if any(part.startswith(".") for part in rel.split("/")):
-            continue
-        head = b""
-        if size:
-            stream = fs.open(status.getPath())
-            head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, _HEAD)))
-            stream.close()
-        name = rel.rsplit("/", 1)[-1]
-        extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-        kind = "pst" if head[:4] == b"!BDN" else "mbox" if head[:5] == b"From " else "empty" if not size and extension in ("", "mbox", "mbx") else "other"
-        eol = "\r" if b"\r" in head and b"\n" not in head else "\n"
-        rows.append((path, rel, size, kind, eol))
+        if not any(part.startswith(".") for part in rel.split("/")):
+            files.append((path, rel, status.getLen()))
+
+    def head(path: str, size: int) -> bytes | None:
+        try:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+            try:
+                start = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, _FIRST)))
+                more = min(size, _HEAD) - len(start)
+                return start + bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, more)) if more and b"\n" not in start and start[:5] == b"From " else start
+            finally:
+                stream.close()
+        except Py4JJavaError:
+            return None
+
+    def classified(file: tuple[str, str, int]) -> tuple:
+        path, rel, size = file
+        first = head(path, size) if size else b""
+        extension = rel.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in rel.rsplit("/", 1)[-1] else ""
+        if first is None:
+            return path, rel, size, "unreadable", "\n"
+        kind = "pst" if first[:4] == b"!BDN" else "mbox" if first[:5] == b"From " else "empty" if not size and extension in ("", "mbox", "mbx") else "other"
+        return path, rel, size, kind, "\r" if b"\r" in first and b"\n" not in first else "\n"
+
+    with ThreadPoolExecutor(_OPENERS) as pool:
+        rows = list(pool.map(classified, files))
     return spark.createDataFrame(rows, _LISTED)
 
 
@@ -65,30 +84,54 @@ def is_start(record: Column, eol: str = "\n") -> Column:
     return record.rlike(f"^From {line}[0-9]:[0-9][0-9]{line}{end}[\\x21-\\x39\\x3b-\\x7e]+:")
 
 
+def _fixed_splits(spark: SparkSession) -> None:
+    """Keep file splits the same for the whole session: places of records are compared between scans."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
+PLACE = ["file_path", "block", "mid"]
+
+
 def _records(spark: SparkSession, paths: list[str], eol: str) -> DataFrame:
-    """(file_path, block, mid, record, start, last): text between 'From ' lines, one character for each byte."""
+    """(file_path, block, mid, record, start): text between 'From ' lines, one character for each byte."""
     escaped = ["".join("\\" + c if c in "*?[]{}\\" else c for c in p) for p in paths]
     raw = spark.read.option("lineSep", f"{eol}From ").text(escaped)
     rows = raw.select("_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), X.latin1(F.col("value").cast("binary")).alias("t"))
     # The first record of a file has kept its 'From '.
     rows = rows.withColumn("record", F.when((F.col("block") == 0) & F.col("t").startswith("From "), F.col("t")).otherwise(F.concat(F.lit("From "), "t"))).drop("t")
-    last = rows.groupBy("file_path").agg(F.max(F.struct("block", "mid")).alias("l")).select("file_path", "l.block", "l.mid", F.lit(True).alias("last"))
-    rows = rows.join(F.broadcast(last), ["file_path", "block", "mid"], "left")  # one row for each listed file
-    return rows.withColumns({"last": F.coalesce("last", F.lit(False)), "start": is_start(F.col("record"), eol)})
+    return rows.withColumn("start", is_start(F.col("record"), eol))
+
+
+def _glued(records: DataFrame) -> tuple[DataFrame, bool]:
+    """(place, g, last, several) of the records that need a look at others, and whether a message has several records.
+
+    Message g of a file is its record with a true start and the false ones behind it.
+    True starts are counted by block of a file, then within each block, on keys only.
+    """
+    keys = materialize(records.select(*PLACE, "start"))
+    starts = keys.groupBy("file_path", "block").agg(F.count_if("start").alias("n"))
+    before = starts.select("file_path", "block", (F.sum("n").over(Window.partitionBy("file_path").orderBy("block")) - F.col("n")).alias("before"))
+    within = F.count_if("start").over(Window.partitionBy("file_path", "block").orderBy("mid"))
+    placed = keys.withColumn("w", within).join(small(before), ["file_path", "block"]).withColumn("g", F.col("before") + F.col("w"))
+    several = placed.where("not start").select("file_path", "g", F.lit(True).alias("several")).distinct()
+    several = materialize(several)
+    last = keys.groupBy("file_path").agg(F.max(F.struct("block", "mid")).alias("l")).select("file_path", "l.block", "l.mid", F.lit(True).alias("last"))
+    marked = placed.select(*PLACE, "g").join(small(several), ["file_path", "g"], "left").join(small(last), PLACE, "left").where("several or last")
+    return materialize(marked.select(*PLACE, "g", F.coalesce("last", F.lit(False)).alias("last"), F.coalesce("several", F.lit(False)).alias("several"))), not several.isEmpty()
 
 
 def _messages(records: DataFrame, eol: str) -> DataFrame:
-    false = F.broadcast(records.where("not start").select("file_path").distinct())
-    easy = records.join(false, "file_path", "left_anti").select("file_path", "block", "mid", "record", "last")
-    order = Window.partitionBy("file_path").orderBy("block", "mid")
-    hard = records.join(false, "file_path", "left_semi").withColumn("g", F.sum(F.col("start").cast("int")).over(order)).where("g > 0")
-    hard = hard.groupBy("file_path", "g").agg(F.array_sort(F.collect_list(F.struct("block", "mid", "record"))).alias("all"), F.max("last").alias("last"))
-    hard = hard.select("file_path", F.col("all")[0]["block"].alias("block"), F.col("all")[0]["mid"].alias("mid"), F.array_join(F.transform("all", lambda r: r["record"]), eol).alias("record"), "last")
+    marks, any_glued = _glued(records)
+    marked = records.join(small(marks), PLACE, "left").withColumns({"last": F.coalesce("last", F.lit(False)), "several": F.coalesce("several", F.lit(False))})
+    whole = marked.where(~F.col("several")).select(*PLACE, "record", "last")
+    if any_glued:  # text before a file's first message has g = 0
+        hard = marked.where("several and g > 0").groupBy("file_path", "g").agg(F.array_sort(F.collect_list(F.struct("block", "mid", "record"))).alias("all"), F.bool_or("last").alias("last"))  # one message's
+        whole = whole.unionByName(hard.select("file_path", F.col("all")[0]["block"].alias("block"), F.col("all")[0]["mid"].alias("mid"), F.array_join(F.transform("all", lambda r: r["record"]), eol).alias("record"), "last"))
     text = F.substring(F.col("record"), F.instr("record", eol) + 1, F.length("record"))
     trimmed = F.when(F.col("last"), F.regexp_replace(text, f"{'\\n' if eol == chr(10) else '\\r'}\\z", "")).otherwise(text)
     trimmed = F.regexp_replace(trimmed, "\\r\\z", "") if eol == "\n" else trimmed
-    whole = easy.unionByName(hard).select("file_path", "block", "mid", F.regexp_replace(F.substring_index("record", eol, 1), "\\r$", "").alias("sep_line"), trimmed.alias("t"))
-    return whole.where("t <> ''")
+    return whole.select(*PLACE, F.regexp_replace(F.substring_index("record", eol, 1), "\\r$", "").alias("sep_line"), trimmed.alias("t")).where("t <> ''")
 
 
 def read_mbox(spark: SparkSession, root: str, archive_id: str | None = None) -> DataFrame:
@@ -97,6 +140,7 @@ def read_mbox(spark: SparkSession, root: str, archive_id: str | None = None) ->
     ``raw`` holds the bytes as they are in the file; (block, mid) orders a file's
     messages.  Empty messages are dropped.
     """
+    _fixed_splits(spark)
     files = classify_files(spark, root).where("kind = 'mbox'")
     listed = files.select("path", "eol").collect()  # the listing came from the driver
     out = None
@@ -110,7 +154,7 @@ def read_mbox(spark: SparkSession, root: str, archive_id: str | None = None) ->
     if out is None:
         out = spark.createDataFrame([], "file_path string, block long, mid long, sep_line string, t string")
     decoded = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
-    out = out.withColumn("p", F.regexp_replace(decoded, "^(file:)/+", "$1/")).join(F.broadcast(places), "p")
+    out = out.withColumn("p", F.regexp_replace(decoded, "^(file:)/+", "$1/")).join(small(places), "p")
     raw = X.bytes_of(F.col("t"))
     return out.select(F.lit(name).alias("archive_id"), "folder_path", F.col("p").alias("file_path"), "block", "mid", "sep_line", raw.alias("raw"), F.octet_length(raw).cast("long").alias("size"))
 
@@ -122,7 +166,9 @@ def with_headers(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Add ``headers``: the fields of the block before the first empty line (256 KB at most)."""
     head = X.normalize_eol(X.latin1(F.substring(F.col(raw_col), 1, HEADER_BYTES)))
     block = F.when(head.startswith("\n"), "").otherwise(F.substring_index(head, "\n\n", 1))
-    return raw.withColumn("headers", X.parse_headers(X.decode_default(X.bytes_of(block))))
+    parsed = X.parse_headers(X.decode_default(X.bytes_of(block)))
+    # The explode of one element is there so that no later use of the column parses again.
+    return raw.select(*(c for c in raw.columns if c != "headers"), F.explode(F.array(parsed)).alias("headers"))
 
 
 def is_read(headers: Column) -> Column:
@@ -149,6 +195,11 @@ def full_importance(headers: Column) -> Column:
     return F.when(listed != 1, listed).when(named.contains("high"), 2).when(named.contains("low"), 0).otherwise(1)
 
 
+def expunged_counts(raw: DataFrame) -> DataFrame:
+    """(archive_id, file_path, expunged): messages that a mail file holds but doesn't show."""
+    return with_headers(raw).where(is_expunged(F.col("headers"))).groupBy("archive_id", "file_path").agg(F.count(F.lit(1)).alias("expunged"))
+
+
 def guesses_attachments(kind: Column) -> Column:
     """From the content type alone."""
     return (kind == "multipart/mixed") | ((kind != "") & ~kind.startswith("text/") & ~kind.isin("multipart/alternative", "multipart/related"))

@@ -84,9 +84,9 @@ R0lGODlh\r
 
 def test_mime_structure(spark):
     raw = spark.createDataFrame([("k", bytearray(MESSAGE)), ("e", bytearray(b""))], "msg_key string, raw binary")
-    parts = mime.with_text(mime.decoded(mime.explode_parts(raw))).cache()
+    whole, parts = mime.message_parts(raw), mime.explode_parts(raw)
     assert {r.part_path for r in parts.where("msg_key = 'k'").collect()} == {"1", "1.1", "1.1.1", "1.1.2", "1.2", "1.2.1", "1.3"}
-    r = mime.bodies_and_attachments(parts).where("msg_key = 'k'").first()
+    r = mime.bodies_and_attachments(whole).where("msg_key = 'k'").first()
     assert (r.body_text, r.body_html) == ("plain =E9", "<b>hé</b>")
     assert [(a.filename, a.method, a.is_hidden, bytes(a.payload)) for a in r.attachments][1] == ("attachment-2.gif", 1, False, b"GIF89a")
     assert r.attachments[0].filename == "Original report" and r.attachments[0].method == 5
@@ -99,3 +99,48 @@ def test_mime_structure(spark):
 @pytest.mark.parametrize("name, kind", [("Posteingang", "inbox"), (" Sent Items ", "sent"), ("x", "mail")])
 def test_folder_kind(spark, name, kind):
     assert spark.range(1).select(folders.folder_kind(F.lit(""), F.lit(None).cast("string"), F.lit(name)).alias("k")).first().k == kind
+
+
+def test_two_files_of_one_path_and_search_in_bodies(spark, tmp_path):
+    """A and A.mbox share a folder path: each message is written once; searches reach addresses, bodies and attachment names."""
+    root = tmp_path / "pair"
+    root.mkdir()
+    mail = lambda i, body: f"From - Thu Nov 04 10:15:0{i} 1999\nFrom: s{i}@x.org\nBcc: Hidden <bcc{i}@x.org>\nSubject: m{i}\n\n{body}\n\n"
+    (root / "A").write_text(mail(1, "alpha") + mail(2, "beta\n\nFrom here no message at 10:30\nhidden word"))
+    (root / "A.mbox").write_text(mail(3, "gamma") + mail(4, "delta"))
+    (root / "empty").write_text("")
+    assert export.export(spark, [str(root)], str(tmp_path / "all")).first().written == 4
+    rows = mbox.message_summaries(mbox.read_mbox(spark, str(tmp_path / "all")))
+    assert sorted(r.subject for r in rows.collect()) == ["m1", "m2", "m3", "m4"]
+    assert export.export(spark, [str(root)], str(tmp_path / "bcc"), "bcc3").first().written == 1
+    assert export.export(spark, [str(root)], str(tmp_path / "none"), "hidden word m2").first().written == 0
+    report = export.export(spark, [str(root)], str(tmp_path / "body"), "WORD m2 from", search_bodies=True, failures_path=str(tmp_path / "failures"))
+    assert report.first().written == 1 and spark.read.parquet(str(tmp_path / "failures")).count() == 0
+    facts = export.archive_facts(spark, [str(root)]).first()
+    assert (facts["mail_files"], facts["items"], facts["folders"]) == (3, 4, 2)
+    link = tmp_path / "link"
+    link.symlink_to(root)
+    with pytest.raises(ValueError):
+        export.export(spark, [str(root)], str(link / "out"))
+
+
+def test_errors_of_what_was_not_searched_are_no_failures(spark):
+    rows = spark.createDataFrame([(0, "a", "f", 0, 1, "k1", "x", "bad body"), (0, "a", "f", 0, 2, "k2", "hit", "bad body")], "archive_no int, archive_id string, folder_path string, folder_order int, seq long, msg_key string, subject string, body_error string").withColumn("message_id", F.lit(""))
+    listed = F.col("subject") == "hit"
+    assert {r.msg_key: r.status for r in export.decide(rows, match=listed).collect()} == {"k1": "miss", "k2": "failure"}
+    decided = export.decide(rows, match=listed, search_bodies=True)
+    assert {r.status for r in decided.collect()} == {"failure"}
+    assert {r.location for r in export.failures(decided).collect()} == {"a/f / x", "a/f / hit"}
+
+
+def test_attachment_and_folder_names(spark):
+    files = spark.createDataFrame([("m", i, n, 1, bytearray(b"x")) for i, n in enumerate(["photo (2).jpg", "photo.jpg", "photo.jpg", "noext", "photo.png"])] + [("m", 9, "Fwd", 5, bytearray(b"y"))], "msg_key string, att_no int, filename string, method int, payload binary")
+    got = {r.att_no: r.rel_path for r in sinks.attachment_rows(files).collect()}
+    assert got == {0: "photo (2).jpg", 1: "photo.jpg", 2: "photo (3).jpg", 3: "noext.bin", 4: "photo (4).png", 9: "Fwd.eml"}
+    messages = spark.createDataFrame([("a", "A:B", 1, "s"), ("a", "A?B", 1, "s"), ("a", "A?B/x", 1, "Re: 1"), ("a", "A?B", 2, "S")], "archive_id string, folder_path string, seq int, subject string").withColumn("raw", F.lit(b"r"))
+    assert sorted(r.rel_path for r in sinks.eml_rows(messages).collect()) == ["A_B (2)/S (2).eml", "A_B (2)/s.eml", "A_B (2)/x/Re_ 1.eml", "A_B/s.eml"]
+
+
+def test_inline_references(spark):
+    rows = spark.createDataFrame([('<img src="CID:pic@x"> cid:pic@x2 cid:none', [("pic@x", "image/gif", "p.gif", bytearray(b"GIF")), (None, None, "q", bytearray(b""))])], "body_html string, attachments array<struct<content_id:string,mime_type:string,filename:string,payload:binary>>")
+    assert mime.inline_references(rows).first().body_html == '<img src="data:image/gif;base64,R0lG"> cid:pic@x2 cid:none'
