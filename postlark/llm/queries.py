@@ -34,10 +34,9 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.signals(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rules = [quality.Rule("base", failed), *quality.default_rules()]
-    out = quality.cascade(measured.withColumn("base_failed", failed), rules)
+    out = quality.cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), rules, prepare=lambda docs: quality.signals(docs).withColumn("base_failed", failed))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"))
 
 
