@@ -68,7 +68,7 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def order_rules(sample: DataFrame, rules: list[Rule], prepare: Callable[[DataFrame], DataFrame]) -> list[Rule]:
+def order_rules(sample: DataFrame, rules: list[Rule], prepare: Callable[[DataFrame], DataFrame] = lambda docs: docs) -> list[Rule]:
     """Rules by falling rejection per second on the sample.
 
     A rule's time is that of a run with it alone on the raw sample, so it pays for
