@@ -8,9 +8,10 @@ Jaccard similarity); four samples make a band, and texts that share a band meet.
 
 Within a band's bucket all texts are paired with one of them, not with each other.
 Pairs are verified on their whole texts by weighted Jaccard similarity; linked texts
-form components.  Buckets that still hold several components get other
-representatives and another round, until a round links nothing new; then all pairs
-of a bucket that are in different components and weren't tried yet are compared.
+form components.  In buckets that still hold several components all others meet one
+text of the largest; then all pairs of a bucket that are in different components and
+weren't tried yet are compared, but for those that can't be similar: what a text
+shares with no other text of such buckets is weight that no pair can have in common.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +41,6 @@ LEAST_AGREEMENT = 34
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 TEXTS_AT_ONCE = 64
-#: Pairs of representatives of a bucket in a turn after the first.
-REPRESENTATIVES = 3
 #: Texts of a bucket that a row holds at once when all pairs are compared.
 LIST = 64
 
@@ -175,23 +174,25 @@ def similarities(left: list[str | None], right: list[str | None], weight_of: np.
 
 
 def _sketches(docs: DataFrame, shared) -> DataFrame:
-    """(id, text_key, bands, samples) of all rows; null bands for texts without words."""
+    """(id, text_key, bands, samples, total) of all rows, total being the weight of all shingles; null bands for texts without words."""
 
-    @F.pandas_udf("bands array<long>, samples binary")
+    @F.pandas_udf("bands array<long>, samples binary, total double")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Sketcher()
         for texts in batches:
-            bands, samples = [], []
+            bands, samples, total = [], [], []
             for low in range(0, len(texts), TEXTS_AT_ONCE):
                 part = texts.iloc[low:low + TEXTS_AT_ONCE].tolist()
                 owner, grams, counts = shingles(part)
-                found = own.sketch(owner, grams, counts * shared.value[_bucket(grams)], len(part))
+                weights = counts * shared.value[_bucket(grams)].astype(np.float64)
+                found = own.sketch(owner, grams, weights, len(part))
+                total += np.bincount(owner, weights, len(part)).tolist()
                 has = np.isin(np.arange(len(part)), owner)
                 bands += [b if h else None for b, h in zip(own.bands(found), has, strict=True)]
                 samples += [s.tobytes() if h else None for s, h in zip(found, has, strict=True)]
-            yield pd.DataFrame({"bands": bands, "samples": samples})
+            yield pd.DataFrame({"bands": bands, "samples": samples, "total": np.array(total, np.float64)})
 
-    return docs.withColumn("s", sketch("text")).select("id", "text_key", "s.bands", "s.samples")
+    return docs.withColumn("s", sketch("text")).select("id", "text_key", "s.bands", "s.samples", "s.total")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shared, similarity: float) -> DataFrame:
@@ -220,6 +221,9 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     """The labels after new links: components of components, only new links count.  Both tables go."""
+    if found.isEmpty():
+        discard(found)
+        return labels
     joined = components(_between(found, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     fresh = materialize(labels.join(joined.toDF("component", "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
     for old in (labels, joined, found):
@@ -227,19 +231,50 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     return fresh
 
 
-def _untried(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs (a, b) of texts that share a band and are in different components.
+def _groups(placed: DataFrame) -> DataFrame:
+    """(band, main, rep, outside) of bands with several components: the largest one, one text of it, and how many texts are outside it."""
+    counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min("text_key").alias("rep"))
+    return counts.groupBy("band").agg(F.max(F.struct("n", "component", "rep")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1").selectExpr("band", "top.component main", "top.rep rep", "all - top.n outside")
 
-    One of such two at least is outside the band's largest component, so all members
-    meet lists of those outside it.
+
+def _alone(texts: DataFrame, shared) -> DataFrame:
+    """(text_key, alone): the weight of the shingles that no other of these texts (text_key, text) has; texts without such are left out."""
+    def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                keys, part = (whole.slice(low, TEXTS_AT_ONCE).column(i) for i in range(2))
+                owner, grams, counts = shingles(part.to_pylist())
+                weights = counts * shared.value[_bucket(grams)].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(grams.view(np.int64)), pa.array(weights)], ["text_key", "gram", "weight"])
+
+    rows = texts.select("text_key", "text").mapInArrow(shingle_rows, "text_key binary, gram long, weight double")
+    once = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("text_key").alias("text_key"), F.min("weight").alias("weight")).where("n = 1")
+    return once.groupBy("text_key").agg(F.sum("weight").alias("alone"))
+
+
+def _untried(member: DataFrame, labels: DataFrame, limits: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts that share a band, are in different components and may be similar.
+
+    ``limits`` gives each text's weight and how much of it another text can share.  One
+    of two components at least is not the band's largest, so all members meet lists of
+    those outside it.
     """
-    placed = member.join(labels.withColumnRenamed("node", "text_key"), "text_key")
-    counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("c")).where("c > 1").selectExpr("band", "top.component main", "all - top.n outside")
+    # A text can't be similar to any other if less than that part of its weight can be shared.
+    able = limits.where(F.col("common") >= similarity * F.col("total") * (1 - 1e-6))
+    placed = materialize(member.join(labels.withColumnRenamed("node", "text_key"), "text_key").join(able, "text_key"))
+    sizes = materialize(_groups(placed))
     part = F.pmod(F.xxhash64("text_key"), F.ceil(F.col("outside") / LIST))
-    lists = placed.join(sizes, "band").where("component <> main").groupBy("band", part.alias("part")).agg(F.collect_list(F.struct("text_key", "component")).alias("others"))  # about LIST of them
-    met = placed.join(lists, "band").select("text_key", F.explode(F.filter("others", lambda o: o["component"] != F.col("component"))).alias("o"))
-    return met.select(F.least("text_key", "o.text_key").alias("a"), F.greatest("text_key", "o.text_key").alias("b")).distinct()
+    lists = placed.join(sizes, "band").where("component <> main").groupBy("band", part.alias("part")).agg(F.collect_list(F.struct("text_key", "component", "total", "common")).alias("others"))  # about LIST of them
+
+    def possible(o: Column) -> Column:
+        most = F.least(o["common"], F.col("common"))
+        return (o["component"] != F.col("component")) & (most >= similarity * (o["total"] + F.col("total") - most) * (1 - 1e-6))
+
+    met = placed.join(lists, "band").select("text_key", F.explode(F.filter("others", possible)).alias("o"))
+    out = materialize(met.select(F.least("text_key", "o.text_key").alias("a"), F.greatest("text_key", "o.text_key").alias("b")).distinct())
+    discard(placed)
+    discard(sizes)
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -256,61 +291,48 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
     shared = spark.sparkContext.broadcast(idf(*document_frequencies(docs, text_col)))  # 4 MB
     rows = materialize(_sketches(keyed, shared))
-    unique = materialize(rows.where("bands is not null").groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples")))
+    unique = materialize(rows.where("bands is not null").groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.first("total").alias("total")))
     member = unique.select("text_key", F.explode("bands").alias("band"))
     common = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     member = materialize(member.join(common, "band"))
     candidates = materialize(member.select("text_key").distinct())
     side = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
     texts = materialize(keyed.join(side, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")))
-    samples = materialize(unique.join(candidates, "text_key", "left_semi").select("text_key", "samples"))
+    samples = materialize(unique.join(candidates, "text_key", "left_semi").select("text_key", "samples", "total"))
     discard(unique)
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        sketches = samples.select("text_key", "samples")
+        return materialize(pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").where(_agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b"))
+
     labels = materialize(candidates.select(F.col("text_key").alias("node"), F.col("text_key").alias("component")))
-    tried = None
-    turn = 0
-    while True:
-        # Representatives are the smallest and largest by hashes that change each turn; the first turn takes one.
-        placed = member.join(labels.withColumnRenamed("node", "text_key"), "text_key")
-        at = [F.struct(F.xxhash64(F.lit(REPRESENTATIVES * turn + i), "text_key").alias("h"), "text_key", "component") for i in range(REPRESENTATIVES if turn else 1)]
-        chosen = [f(x).alias(f"r{i}{n}") for i, x in enumerate(at) for n, f in (("low", F.min), ("high", F.max))][:None if turn else 1]
-        ends = placed.groupBy("band").agg(*chosen, F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").drop("c1", "c2")
-        met = placed.join(ends, "band")
-        if turn == 0:  # one representative of all its buckets does for most texts
-            pairs = met.groupBy(F.col("text_key").alias("x")).agg(F.min("r0low.text_key").alias("y")).where("x <> y")
-        else:
-            others = F.array_distinct(F.filter(F.array(*(F.struct(f"{c}.text_key", f"{c}.component") for c in ends.columns if c != "band")), lambda r: r["component"] != F.col("component")))
-            pairs = met.select(F.col("text_key").alias("x"), F.explode(others).alias("r")).select("x", F.col("r.text_key").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        likely = materialize(pairs.join(samples.toDF("a", "sa"), "a").join(samples.toDF("b", "sb"), "b").where(_agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b"))
-        found = materialize(_verified(likely, texts, shared, similarity))
-        if found.isEmpty():
-            discard(likely)
-            discard(found)
-            if turn:
-                break
-        else:
-            labels = _merged(labels, found)
-            tried, before = (likely, None) if tried is None else (materialize(tried.union(likely)), tried)
-            for old in (before, likely) if before is not None else ():
-                discard(old)
-        turn += 1
-    # What no turn has tried: one pair of each two components first, then those that still are between components.
-    left = _untried(member, labels)
-    left = left if tried is None else left.join(tried, ["a", "b"], "left_anti")
-    left = materialize(left.join(samples.toDF("a", "sa"), "a").join(samples.toDF("b", "sb"), "b").where(_agreement("sa", "sb") >= LEAST_AGREEMENT).select("a", "b"))
+    # First each text meets the smallest of all its buckets, by hash.
+    least = member.groupBy("band").agg(F.min(F.struct(F.xxhash64("text_key").alias("h"), "text_key")).alias("r"))
+    first = member.join(least, "band").groupBy(F.col("text_key").alias("x")).agg(F.min("r.text_key").alias("y")).where("x <> y")
+    first = likely(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    labels = _merged(labels, materialize(_verified(first, texts, shared, similarity)))
+    # Then one text of the largest component of each of its buckets, if it is outside that.
+    placed = member.join(labels.withColumnRenamed("node", "text_key"), "text_key")
+    outside = placed.join(_groups(placed), "band").where("component <> main").select(F.least("text_key", "rep").alias("a"), F.greatest("text_key", "rep").alias("b")).distinct()
+    second = likely(outside.join(first, ["a", "b"], "left_anti"))
+    labels = _merged(labels, materialize(_verified(second, texts, shared, similarity)))
+    # Last, all that wasn't tried: one pair of each two components first, then those that still are between components.
+    placed = member.join(labels.withColumnRenamed("node", "text_key"), "text_key")
+    open_ = materialize(placed.join(_groups(placed).select("band"), "band", "left_semi").select("text_key").distinct())
+    alone = _alone(texts.join(open_, "text_key", "left_semi"), shared)
+    limits = materialize(samples.join(open_, "text_key", "left_semi").join(alone, "text_key", "left").select("text_key", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common")))
+    untried = _untried(member, labels, limits, similarity)
+    left = likely(untried.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"))
     apart = _between(left, labels)
     one = materialize(apart.groupBy(F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
     labels = _merged(labels, materialize(_verified(one, texts, shared, similarity)))
     rest = materialize(_between(left, labels).select("a", "b").join(one, ["a", "b"], "left_anti"))
     labels = _merged(labels, materialize(_verified(rest, texts, shared, similarity)))
-    for old in (left, one, rest):
+    for old in (first, second, open_, limits, untried, left, one, rest):
         discard(old)
     classes = rows.select("id", "text_key").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").select("id", F.coalesce("component", "text_key").alias("component"))
     classes = materialize(classes)
-    for old in (rows, member, candidates, texts, samples, labels, *([] if tried is None else [tried])):
+    for old in (rows, member, candidates, texts, samples, labels):
         discard(old)
     sizes = classes.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
     return classes.join(sizes, "component").select(F.col("id").alias(id_col), "class_id", "n_class")
