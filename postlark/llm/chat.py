@@ -10,6 +10,7 @@ JSON.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,20 +21,27 @@ from postlark.llm.common import discard, materialize
 
 #: Copies of one row that are made from their count at once.
 COPIES_AT_ONCE = 1000
+#: Turns of a conversation that are sorted together.
+TURNS = 1000
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
 def canonical(value: object) -> str:
     """Sorted keys, no blanks, characters as they are; like values give like bytes."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _storable(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _storable(text: str) -> str:
+    """Surrogates without a partner, which no UTF-8 text can hold, stay as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def schema_errors(value: object, schema: dict, path: str = "$") -> list[str]:
-    """What a value breaks of a schema (type, enum, required, properties, additionalProperties, items, bounds)."""
+    """What a value breaks of a schema (type, enum, required, properties, additionalProperties, items, bounds); no value is of an unknown type."""
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
+    if kinds and not any(isinstance(value, _TYPES.get(k, ())) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
         return [f"{path}: not {' or '.join(kinds)}"]
     out = []
     if "enum" in schema and value not in schema["enum"]:
@@ -65,7 +73,7 @@ def _checked(arguments: str | None, name: str | None, schemas: dict[str, dict])
     if name not in schemas:
         return False, "$: no such tool", text
     errors = schema_errors(value, schemas[name])
-    return not errors, "; ".join(errors), text
+    return not errors, _storable("; ".join(errors)), text
 
 
 def _depths(calls: DataFrame) -> DataFrame:
@@ -162,6 +170,25 @@ def _json_list(text: Column) -> Column:
     return F.from_json(text, f"struct<tool_calls: array<{_CALL}>, tool_call_id: string, content: string>")
 
 
+def _with_context(rows: DataFrame) -> DataFrame:
+    """Add ``before`` and ``system``: the last ``asked`` and ``told`` of the conversation's rows before; null without a conversation.
+
+    Rows are sorted within ranges of turns, and what a range begins with is carried from those before it, so a long
+    conversation is many tasks'.
+    """
+    rows = rows.withColumn("range", F.floor(F.coalesce("turn", F.lit(0)) / TURNS))
+    named = rows.where("conv_id is not null")
+    place = F.struct("turn", "role", "text")
+    ends = named.groupBy("conv_id", "range").agg(F.max("asked").alias("asked"), F.max_by("told", F.when(F.col("told").isNotNull(), place)).alias("told"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("conv_id", "range", F.last("asked", True).over(earlier).alias("asked0"), F.last("told", True).over(earlier).alias("told0")).where("asked0 is not null or told0 is not null")
+    within = Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    inside = named.withColumns({"b": F.last("asked", True).over(within), "s": F.last("told", True).over(within)}).join(carried, ["conv_id", "range"], "left")
+    whole = inside.withColumns({"before": F.coalesce("b", "asked0"), "system": F.coalesce("s", "told0")}).drop("b", "s", "asked0", "told0")
+    alone = rows.where("conv_id is null").withColumns({"before": F.lit(None).cast("long"), "system": F.lit(None).cast("string")})
+    return whole.unionByName(alone)
+
+
 def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of conversations (conv_id, turn, role, text).
 
@@ -170,13 +197,12 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     last user turn before it, an answer to none if there is none.  A text that is a
     JSON object with ``tool_calls`` (id, name, arguments, after) or ``tool_call_id``
     and ``content`` holds calls or a result of its own.  Turns that repeat a place
-    keep apart only by their text.
+    keep apart only by their text.  Turns without a conversation have none before them.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", F.col("turn").cast("long"), "role", "text").withColumn("j", F.when(F.ltrim("text").startswith("{"), _json_list(F.col("text"))))
     rows = rows.withColumns({"own": F.col("j.tool_calls").isNull() & F.col("j.tool_call_id").isNull(), "user": F.col("role") == "user"})
     asked = F.when(F.col("user") & F.col("own"), F.col("turn"))
-    rows = rows.withColumns({"before": F.last(asked, True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "system": F.last(F.when(F.col("role") == "system", F.col("text")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = _with_context(rows.withColumns({"asked": asked, "told": F.when(F.col("role") == "system", F.col("text"))}))
     arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn", "system"))
     prompts = rows.where("user and own").select("conv_id", F.col("turn").cast("string").alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"), F.col("before").cast("string").alias("after"))
     replies = rows.where("role = 'assistant' and own").select("conv_id", F.col("before").cast("string").alias("call_id"), "turn", F.col("text").alias("content"))

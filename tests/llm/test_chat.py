@@ -58,3 +58,15 @@ def test_exchanges(spark):
     assert out[2, None].status == "anonymous" and out[3, "t1"].status == "linked" and out[3, "0"].result_turn == 3
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.link_calls(*chat.exchanges(empty), SCHEMAS).count() == 0
+
+
+def test_lone_surrogates_unknown_types_and_long_conversations(spark, monkeypatch):
+    calls = spark.createDataFrame([("c", "1", 0, "t", '{"a":"\\ud800"}', None), ("c", "2", 1, "odd", "{}", None)], "conv_id string, call_id string, turn long, name string, arguments string, after string")
+    results = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
+    got = {r.call_id: r for r in chat.link_calls(calls, results, {"t": {"type": "object"}, "odd": {"type": "nothing known"}}).collect()}
+    assert "\\ud800" in got["1"].json and got["1"].valid and got["2"].errors == "$: not nothing known"
+    turns = [("c", t, ("system", "user", "assistant", "user", "assistant", "assistant")[t % 6], f"text {t}") for t in range(60)] + [(None, 0, "user", "x"), (None, 1, "assistant", "y")]
+    table = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")
+    whole = [sorted(map(str, t.collect())) for t in chat.exchanges(table)]
+    monkeypatch.setattr(chat, "TURNS", 4)
+    assert [sorted(map(str, t.collect())) for t in chat.exchanges(table)] == whole
