@@ -198,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = (F.xxhash64("__id"), "__id")
     picked = given.where("__y = 1").orderBy(*order).limit(per_class).union(given.where("__y = 0").orderBy(*order).limit(per_class))
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), lang.alias("__lang")).join(F.broadcast(picked), "__id").collect()  # 2 x per_class ids at most
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), lang.alias("__lang")).join(F.broadcast(picked), "__id")
+    # An id that repeats counts once, with its smallest text: 2 x per_class rows at most reach the driver.
+    rows = rows.groupBy("__id", "__y").agg(F.min(F.struct("__text", "__lang")).alias("t")).select("__id", "__y", "t.*").collect()
     rows.sort(key=lambda r: (r["__id"], r["__text"] or ""))
     return fit([r["__text"] or "" for r in rows], np.array([r["__y"] for r in rows]), [r["__lang"] for r in rows])
 
@@ -206,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def with_toxicity(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Add ``score`` (0 to 1) and ``toxic`` (the language's threshold is reached; 0.5 for languages without one).
 
-    Null and empty texts have a score too: that of a text without words.  All rows and columns stay.
+    Null and empty texts have a score too: that of a text without words.  All rows and columns stay; those of
+    the new names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS x DIM floats
 
