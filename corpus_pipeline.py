@@ -24,8 +24,9 @@ from postlark.llm.common import materialize, table
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.with_toxicity(docs.drop("score", "toxic"), model)
-    return scored.where(~F.col("toxic")).select(*docs.columns)
+    lang = ["lang"] if "lang" in docs.columns else []
+    scored = toxicity.with_toxicity(docs.select(F.struct("*").alias("__row"), "text", *lang), model)
+    return scored.where(~F.col("toxic")).select("__row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from postlark.llm.common import table
 
 def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "removal.n_bytes", "removal.n_removed", F.size("removal.removed").cast("long").alias("n_spans"), F.sha2("removal.kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "removal.n_bytes", "removal.n_removed", F.size("removal.removed").cast("long").alias("n_spans"), F.sha2("removal.kept", 256).alias("kept_sha256"), (F.col("removal.n_removed") > 0).alias("has_repeats"))
 
 
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

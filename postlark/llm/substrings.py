@@ -319,10 +319,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere
     else, in the same or another document.  Null counts as an empty text; rows that
-    repeat are copies of each other.  All rows stay; an empty table gives none.
+    repeat are copies of each other.  All rows and columns stay (one named ``removal``
+    is replaced); an empty table gives none.  A very long text is held whole by the
+    task that has it, with some eight-byte arrays as long as the text.
     """
     ranges = repeated_ranges(docs, id_col, text_col, length, gram, **options)
-    side = ranges.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), "runs")
+    side = ranges.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__side"), F.col("runs").alias("__runs"))
 
     @F.pandas_udf(REMOVAL)
     def remove(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -336,7 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "kept", "removed"])
 
     keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = [keyed["__hash"] == side["__hash"], F.col(id_col).cast("long").eqNullSafe(F.col("__doc"))]
-    joined = keyed.join(bounded(side, "runs", BROADCAST_ENTRIES), same, "left")
-    return joined.withColumn("removal", remove(F.col(text_col).cast("string"), "runs")).drop("__hash", "__doc", "runs")
+    same = [F.col("__hash") == F.col("__side"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc"))]
+    joined = keyed.join(bounded(side, "__runs", BROADCAST_ENTRIES), same, "left")
+    return joined.withColumn("removal", remove(F.col(text_col).cast("string"), "__runs")).drop("__hash", "__side", "__doc", "__runs")
 
