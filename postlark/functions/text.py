@@ -95,8 +95,9 @@ def safe_name(text: Column) -> Column:
     name = F.concat(F.repeat(F.lit("_"), dots), F.regexp_replace(name, "^\\.+", ""))
     name = F.when(name == "", "zonder onderwerp").otherwise(name)
     # 200 bytes hold 50 characters at least; the longest prefix that fits is looked for only in long names.
-    fits = F.array_max(F.filter(F.sequence(F.lit(50), F.least(F.length(name), F.lit(200))), lambda n: F.octet_length(F.left(name, n)) <= 200))
-    return F.when(F.octet_length(name) <= 200, name).otherwise(F.left(name, fits))
+    # As a lambda's variable the name is worked out once, not for each length.
+    fitted = lambda n: F.left(n, F.array_max(F.filter(F.sequence(F.lit(50), F.least(F.length(n), F.lit(200))), lambda k: F.octet_length(F.left(n, k)) <= 200)))
+    return F.get(F.transform(F.array(F.left(name, F.lit(201))), lambda n: F.when(F.octet_length(n) <= 200, n).otherwise(fitted(n))), 0)
 
 
 def flat(text: Column) -> Column:

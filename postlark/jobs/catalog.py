@@ -9,14 +9,16 @@ twin gives the row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postlark import storage
 from postlark.functions import mail
 from postlark.functions import text as X
-from postlark.jobs import export
+from postlark.jobs import export, messages
 from postlark.operators import dedupe, folders, mime, properties, reports, search, sinks
 from postlark.sources import mbox
 
@@ -417,3 +419,161 @@ def natural_order(spark, sf_dir):
     name = F.when(F.col("s_suppkey") % 9 == 0, "INBOX").otherwise(F.concat(F.lit("Folder "), "s_suppkey"))
     place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(folders.name_key(name), "s_suppkey"))
     return s.select("s_suppkey", F.col("s_nationkey").alias("archive_no"), place.cast("long").alias("place"))
+
+
+def uuencoded(raw: Column) -> Column:
+    """One line of at most 45 bytes: base64 in another alphabet, its length first."""
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="
+    return F.concat(F.char((F.octet_length(raw) + 32).cast("long")), F.translate(F.base64(raw), plain, "`" + "".join(map(chr, range(33, 96))) + "`"))
+
+
+@query("""SELECT doc_id, md5(text) AS quoted_printable, source AS uu, 'é' || source AS western, 'ł' || source AS central FROM documents""")
+def transfer_decoders(spark, sf_dir):
+    """Round trips: quoted-printable with soft breaks, uuencode, 8-bit store strings of two code pages."""
+    d = table(spark, sf_dir, "documents")
+    soft = F.replace(F.replace(F.regexp_replace("text", "(.{60})", "$1\u0001"), F.lit("="), F.lit("=3D")), F.lit("\u0001"), F.lit("= \n"))
+    uu = F.concat(F.lit("begin 644 f\n"), uuencoded(F.encode("source", "UTF-8")), F.lit("\n`\nend\n"))
+    return d.select("doc_id", F.md5(mail.quoted_printable(F.encode(soft, "UTF-8"))).alias("quoted_printable"), mail.uudecoded(F.encode(uu, "UTF-8")).cast("string").alias("uu"), mail.codepage_text(F.encode(F.concat(F.lit("é"), "source", F.lit("\0\0")), "ISO-8859-1")).alias("western"),
+                    mail.codepage_text(F.encode(F.concat(F.lit("³"), "source", F.lit("\0")), "ISO-8859-1"), 28592).alias("central"))
+
+
+@query("""SELECT doc_id, md5(chr(10) || '[Attachment: f' || doc_id || '.txt]' || chr(10) || 'after' || chr(10) || 'begin 644 cut') AS text_md5, 'f' || doc_id || '.txt' AS filename, source AS payload FROM documents""")
+def uu_attachments(spark, sf_dir):
+    """Round trip: a complete uuencoded block in a plain body, and one without end."""
+    d = table(spark, sf_dir, "documents")
+    body = F.concat(F.lit("Subject: x\n\n\nbegin 644 f"), "doc_id", F.lit(".txt\n"), uuencoded(F.encode("source", "UTF-8")), F.lit("\n`\nend\nafter\nbegin 644 cut"))
+    out = mime.bodies_and_attachments(mime.message_parts(d.select(F.col("doc_id").alias("msg_key"), F.encode(body, "UTF-8").alias("raw"))))
+    a = F.get("attachments", 0)
+    return out.select(F.col("msg_key").alias("doc_id"), F.md5("body_text").alias("text_md5"), a["filename"].alias("filename"), a["payload"].cast("string").alias("payload"))
+
+
+@query("""SELECT page_id, url AS plain, CASE page_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'rtf' ELSE 'html' END AS kind FROM pages""")
+def body_choice(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    of = lambda k, value: F.when(F.col("page_id") % 3 == k, value)
+    plain, kind = mime.body_of(of(0, F.col("url")), of(1, F.col("url")), of(2, F.concat(F.lit("<p>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</p>"))))
+    return p.select("page_id", plain.alias("plain"), kind.alias("kind"))
+
+
+@query("""SELECT doc_id AS msg_key, '1.2' AS parent_path, '1.2.1' AS part_path, 'Inner ' || doc_id AS subject, 3 AS level FROM documents""")
+def enclosed_messages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    raw = F.concat(F.lit("Content-Type: multipart/mixed; boundary=b\n\n--b\n\n"), F.regexp_replace("text", "(?m)^--", "- -"), F.lit("\n--b\nContent-Type: message/rfc822\n\nSubject: Inner "), "doc_id", F.lit("\n\nx\n--b--\n"))
+    return mime.embedded_messages(mime.explode_parts(d.select(F.col("doc_id").alias("msg_key"), F.encode(raw, "UTF-8").alias("raw"))))
+
+
+@query("""SELECT doc_id::VARCHAR AS msg_key, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS archive_no FROM documents""")
+def united_archives(spark, sf_dir):
+    """Two archives in order, one of them given with every message twice."""
+    m = as_messages(spark, sf_dir).drop("archive_no")
+    english, other = m.where("folder_id = 'en'"), m.where("folder_id <> 'en'")
+    return dedupe.distinct_refs(dedupe.union_archives([english, other.unionByName(other)])).select("msg_key", "archive_no")
+
+
+@query("""SELECT doc_id, md5(text || chr(10) || 'From here on at 10:30' || chr(10) || 'no field' || chr(10)) AS body_md5 FROM documents""")
+def mbox_round_trip(spark, sf_dir):
+    """Documents written as mbox files, with lines in their texts that look like separators, and read back."""
+    d = table(spark, sf_dir, "documents")
+    entry = F.concat(F.lit("From - Thu Nov 04 12:00:00 1999\nSubject: "), "doc_id", F.lit("\n\n"), X.latin1(F.encode("text", "UTF-8")), F.lit("\nFrom here on at 10:30\nno field\n"))
+    place = f"{storage.shared_dir(spark)}/mail-{uuid.uuid4().hex}"
+    sinks.write_mbox(d.select("lang", "doc_id", entry.alias("entry")), place, ("lang", "doc_id"))
+    raw = mbox.with_headers(mbox.read_mbox(spark, place, "a"))
+    text = X.latin1(F.col("raw"))
+    return raw.select(X.header(F.col("headers"), "Subject").cast("long").alias("doc_id"), F.md5(X.bytes_of(F.substring(text, F.instr(text, "\n\n") + 2, F.length(text)))).alias("body_md5"))
+
+
+@query(f"""WITH {MESSAGES}, s AS (SELECT m.*, toxic IS NOT NULL AS bad, {HAY} || from_email || ' ' || lower(body_text) || ' ' || attachment_names AS h FROM m LEFT JOIN (SELECT doc_id, toxic FROM labels WHERE toxic = 1) USING (doc_id)),
+t AS (SELECT *, contains(h, 'license') AND contains(h, 'src') AS hit FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY message_id, bad OR NOT hit ORDER BY folder_path, seq) AS rn FROM t)
+SELECT count(*) AS scanned, count(*) FILTER (WHERE NOT bad AND hit AND rn = 1) AS written, count(*) FILTER (WHERE NOT bad AND hit AND rn > 1) AS duplicates, count(*) FILTER (WHERE bad) AS failures, count(*) FILTER (WHERE NOT bad AND NOT hit) AS misses FROM c""")
+def export_with_bodies(spark, sf_dir):
+    """The decisions of an export that searches bodies and attachment names; unreadable bodies are failures."""
+    rows = with_errors(spark, sf_dir).withColumnRenamed("recipient_error", "body_error")
+    return reports.export_report(export.decide(rows, match=search.in_list("license SRC") | search.with_bodies("license SRC"), search_bodies=True))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS nid, count(*) AS n_recipients, coalesce(string_agg('S' || l_suppkey, ', ' ORDER BY l_linenumber, l_suppkey), '') AS to_list FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem) GROUP BY 1),
+a AS (SELECT l_orderkey AS nid, count(*) AS n_attachments, string_agg('p' || l_partkey, ' ' ORDER BY l_partkey) AS attachment_names FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1)
+SELECT o_orderkey AS nid, 'Order ' || o_orderkey AS subject, coalesce(to_list, '') AS to_list, coalesce(n_recipients, 0)::BIGINT AS n_recipients, coalesce(n_attachments, 0)::BIGINT AS n_attachments, coalesce(attachment_names, '') AS attachment_names, o_orderpriority AS body_text FROM orders LEFT JOIN r ON r.nid = o_orderkey LEFT JOIN a ON a.nid = o_orderkey""")
+def store_messages(spark, sf_dir):
+    """Orders as contents rows, joined with line items as recipients and attachments."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    none = lambda kind: F.lit(None).cast(kind)
+    contents = o.select(F.lit("a").alias("archive_id"), F.lit(1).alias("folder_nid"), F.col("o_orderkey").alias("row_id"), F.concat(F.lit("\u0001x Order "), "o_orderkey").alias("subject"), none("string").alias("represented_name"), F.col("o_orderstatus").alias("sender_name"), F.lit("").alias("display_to"), F.lit("").alias("display_cc"),
+                        F.col("o_orderdate").alias("delivery_time"), none("timestamp").alias("submit_time"), none("timestamp").alias("modified_time"), F.lit(1).alias("size"), F.lit(1).alias("flags"), F.lit("IPM.Note").alias("message_class"), F.lit(1).alias("importance"))
+    people = li.select("l_orderkey", "l_linenumber", "l_suppkey").distinct().select(F.lit("a").alias("archive_id"), F.col("l_orderkey").alias("nid"), (F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_suppkey")).alias("pos"), F.lit(0x11).alias("kind"), F.concat(F.lit("S"), "l_suppkey").alias("name"), F.lit("/O=X").alias("email"))
+    files = li.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct().select(F.lit("a").alias("archive_id"), F.col("l_orderkey").alias("nid"), F.col("l_partkey").cast("int").alias("att_no"), F.concat(F.lit("p"), "l_partkey").alias("filename"), F.lit(0).cast("long").alias("size"), F.lit(1).alias("method"), F.lit("x/y").alias("mime_type"),
+                                                                                 F.lit("").alias("content_id"), F.lit(False).alias("is_hidden"), none("binary").alias("payload"))
+    bodies = o.select(F.lit("a").alias("archive_id"), F.col("o_orderkey").alias("nid"), F.col("o_orderpriority").alias("body_text"), none("string").alias("body_html"), none("string").alias("body_error"))
+    out = messages.store_messages(contents, people, files, bodies)
+    return out.select("nid", "subject", "to_list", F.size("recipients").cast("long").alias("n_recipients"), F.size("attachments").cast("long").alias("n_attachments"), "attachment_names", "body_text")
+
+
+@query("""SELECT p_brand AS msg_key, p_partkey::INT AS att_no, CASE rn WHEN 1 THEN 'photo (2).jpg' WHEN 2 THEN 'photo.jpg' ELSE 'photo (' || rn || ').jpg' END AS rel_path FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)""")
+def attachment_names(spark, sf_dir):
+    rn = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    files = table(spark, sf_dir, "part").select(F.col("p_brand").alias("msg_key"), F.col("p_partkey").cast("int").alias("att_no"), F.when(rn == 1, "photo (2).jpg").otherwise("photo.jpg").alias("filename"), F.lit(1).alias("method"), F.lit(None).cast("binary").alias("payload"))
+    return sinks.attachment_rows(files).select("msg_key", "att_no", "rel_path")
+
+
+@query("""WITH f AS (SELECT source, bool_or(lang = 'en') AS paired FROM documents GROUP BY 1) SELECT source AS archive_id, CASE WHEN lang <> 'en' AND paired THEN 'A_B (2)' ELSE 'A_B' END || '/Re_ x' || CASE WHEN rn = 1 THEN '' ELSE ' (' || rn || ')' END || '.eml' AS rel_path, text_md5
+FROM (SELECT source, lang, md5(text) AS text_md5, row_number() OVER (PARTITION BY source, lang = 'en' ORDER BY doc_id) AS rn FROM documents) JOIN f USING (source)""")
+def eml_names(spark, sf_dir):
+    """Sibling folders of one safe name, messages of one subject."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("archive_id"), F.when(F.col("lang") == "en", "A:B").otherwise("A?B").alias("folder_path"), F.col("doc_id").alias("seq"), F.lit("Re: x").alias("subject"), F.encode("text", "UTF-8").alias("raw"))
+    return sinks.eml_rows(d).select("archive_id", "rel_path", F.md5("content").alias("text_md5"))
+
+
+@query("""SELECT page_id, '<img src="data:image/png;base64,' || to_base64(url::BLOB) || '"> cid:' || page_id || '0' AS body_html FROM pages""")
+def inlined_references(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    a = F.struct(F.col("page_id").cast("string").alias("content_id"), F.lit("").alias("mime_type"), F.lit("a.PNG").alias("filename"), F.encode("url", "UTF-8").alias("payload"))
+    rows = p.select("page_id", F.concat(F.lit('<img src="CID:'), "page_id", F.lit('"> cid:'), "page_id", F.lit("0")).alias("body_html"), F.array(a).alias("attachments"))
+    return mime.inline_references(rows).select("page_id", "body_html")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'F' ELSE 'S' END || doc_id AS name, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS importance FROM documents""")
+def full_message_fields(spark, sf_dir):
+    """Sender of From, else of Sender; importance of X-Priority, else of Importance."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id") % 4
+    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("From: F"), "doc_id", F.lit(" <f@x>\n"))).otherwise(""), F.lit("Sender: S"), F.col("doc_id").cast("string"), F.lit(" <s@x>\n"),
+                   F.when(i == 0, "X-Priority: 1\nImportance: low\n").when(i == 1, "Importance: High\n").when(i == 2, "X-Priority: 3\nImportance: low\n").otherwise(""), F.lit("\n"), "text")
+    rows = mbox.with_headers(d.select("doc_id", F.encode(raw, "UTF-8").alias("raw")))
+    return rows.select("doc_id", mime.full_sender(F.col("headers"))["name"].alias("name"), mbox.full_importance(F.col("headers")).alias("importance"))
+
+
+@query("""SELECT doc_id, list_aggregate(list_filter(range(1, 201), lambda n: strlen(left(s, n::INT)) <= 200), 'max')::INT AS n_chars, strlen(s) <= 200 OR strlen(left(s, list_aggregate(list_filter(range(1, 201), lambda n: strlen(left(s, n::INT)) <= 200), 'max')::INT)) > 196 AS full_use
+FROM (SELECT doc_id, repeat('é', 20) || replace(replace(regexp_replace(text, '[^A-Za-z0-9 ]', 'x', 'g'), '  ', ' '), ' ', 'ü') || repeat('日', 200) AS s FROM documents)""")
+def long_names(spark, sf_dir):
+    """Names over 200 bytes are cut between characters."""
+    d = table(spark, sf_dir, "documents")
+    s = F.concat(F.repeat(F.lit("é"), F.lit(20)), F.replace(F.replace(F.regexp_replace("text", "[^A-Za-z0-9 ]", "x"), F.lit("  "), F.lit(" ")), F.lit(" "), F.lit("ü")), F.repeat(F.lit("日"), F.lit(200)))
+    name = X.safe_name(s)
+    return d.select("doc_id", F.length(name).alias("n_chars"), (F.octet_length(name) > 196).alias("full_use"))
+
+
+@query("""WITH f AS (SELECT DISTINCT source, source || '/' || lang AS location FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY location) AS n FROM f)
+SELECT source AS archive_id, count(*) AS folders, (SELECT count(*) FROM documents d WHERE d.source = r.source) AS messages, string_agg(location, ', ' ORDER BY location) FILTER (WHERE n <= 3) AS first_folders FROM r GROUP BY source""")
+def incomplete_folders(spark, sf_dir):
+    m = as_messages(spark, sf_dir).select("archive_id", search.location().alias("location"), "msg_key")
+    failures = m.select("archive_id", "location", F.lit(None).cast("string").alias("msg_key")).distinct().unionByName(m).withColumn("reason", F.lit("x"))
+    return reports.incomplete_warning(failures).withColumn("first_folders", F.array_join("first_folders", ", "))
+
+
+@query("""SELECT p_partkey AS nid, replace(p_name, ' ', '; ') AS shown, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '(no subject)' END AS subject FROM part""")
+def shown_values(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    subject = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\u0001y "), "p_type", F.lit(" \r\n"))).otherwise("\u0001z \t")
+    return p.select(F.col("p_partkey").alias("nid"), properties.joined_values(F.split("p_name", " ")).alias("shown"), X.shown_subject(subject).alias("subject"))
+
+
+@query(f"""WITH {MESSAGES} SELECT archive_id, folder_path, trim(subject, ' ' || chr(9) || chr(13)) AS subject, n AS n_attachments FROM m JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(range(doc_id % 3 + 1)) FROM documents) GROUP BY 1) USING (doc_id)""")
+def listing_for_comparison(spark, sf_dir):
+    m = as_messages(spark, sf_dir)
+    files = m.select("msg_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seq") % 3)))
+    return reports.reference_listing(m, files)
+
+
+@query("""SELECT event_id, ts AS date FROM events ORDER BY ts, event_id LIMIT 50""")
+def oldest_messages(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("date")).orderBy(*reports.oldest_first("event_id")).limit(50)
