@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlark.llm import attribution, chat, decontaminate, licenses, lines, near_dup, packing, quality, substrings, toxicity
+from postlark.llm import attribution, chat, decontaminate, licenses, lines, near_dup, packing, quality, repair, substrings, toxicity, trie, vectors
 from postlark.llm.common import table
 
 
@@ -81,6 +81,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_linked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.encoded(trie.lend_openings(turns)))
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    repaired = repair.repair_conversations(repair.damage(given))
+    kept = F.coalesce(F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n"), F.lit(""))
+    numbers = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    every = given.select(F.col("conv_id").alias("given_id")).distinct()
+    both = every.join(repaired, F.col("given_id").eqNullSafe(F.col("conv_id")), "left")
+    return both.select(F.col("given_id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(kept, 256).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_pack_sequences": op2_pack_sequences,
@@ -92,6 +111,9 @@ QUERIES = {
     "op8_tool_calls": op8_tool_calls,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_linked_vectors": op11_linked_vectors,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_repair_conversations": op13_repair_conversations,
 }
 
 ORACLES: dict[str, str] = {"op6_quality_cascade": OP6_SQL}
