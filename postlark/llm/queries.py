@@ -93,11 +93,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     repaired = repair.repair_conversations(repair.damage(given))
-    kept = F.coalesce(F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n"), F.lit(""))
+    kept = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    repaired = repaired.withColumn("sha", F.sha2(kept, 256)).drop("repaired")  # texts don't go through the join
     numbers = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
     every = given.select(F.col("conv_id").alias("given_id")).distinct()
     both = every.join(repaired, F.col("given_id").eqNullSafe(F.col("conv_id")), "left")
-    return both.select(F.col("given_id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(kept, 256).alias("repaired_sha256"))
+    return both.select(F.col("given_id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
 QUERIES = {
