@@ -277,18 +277,15 @@ def _untried(member: DataFrame, labels: DataFrame, limits: DataFrame, similarity
     return out
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: ``id_col``, ``class_id`` (the smallest id of its class) and ``n_class`` (rows in the class).
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
-    A class holds equal texts and all texts joined by links of at least
-    ``similarity``.  Null counts as an empty text; texts without words are like equal
-    texts only; of one to four words, like texts of the same words.  Rows that
-    repeat, repeated and null ids have their rows; a class of null ids only has a
-    null class id.  An empty table gives no rows.
-    """
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, text_key, component) of each row: the key of its text, and the smallest key of the text's class."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), _text_key(text_col).alias("text_key"), text.alias("text"))
     shared = spark.sparkContext.broadcast(idf(*document_frequencies(docs, text_col)))  # 4 MB
     rows = materialize(_sketches(keyed, shared))
     unique = materialize(rows.where("bands is not null").groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.first("total").alias("total")))
@@ -330,19 +327,45 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     labels = _merged(labels, materialize(_verified(rest, texts, shared, similarity)))
     for old in (first, second, open_, limits, untried, left, one, rest):
         discard(old)
-    classes = rows.select("id", "text_key").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").select("id", F.coalesce("component", "text_key").alias("component"))
+    classes = rows.select("id", "text_key").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").select("id", "text_key", F.coalesce("component", "text_key").alias("component"))
     classes = materialize(classes)
     for old in (rows, member, candidates, texts, samples, labels):
         discard(old)
+    return classes
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: ``id_col``, ``class_id`` (the smallest id of its class) and ``n_class`` (rows in the class).
+
+    A class holds equal texts and all texts joined by links of at least
+    ``similarity``.  Null counts as an empty text; texts without words are like equal
+    texts only; of one to four words, like texts of the same words.  Rows that
+    repeat, repeated and null ids have their rows; a class of null ids only has a
+    null class id.  An empty table gives no rows.
+    """
+    classes = _classes(docs, id_col, text_col, similarity)
     sizes = classes.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
     return classes.join(sizes, "component").select(F.col("id").alias(id_col), "class_id", "n_class")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a smaller id; of rows with one id and class, one stays."""
-    classes = materialize(near_duplicate_classes(docs, id_col, text_col, similarity))
-    gone = classes.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(id_col).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
-    repeated = classes.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
+    """One row of each class of near-duplicates: that of the smallest id, null last, then of the smallest hash of the text.
+
+    A row is what its id and text are: different texts of one id, or of no id, are
+    documents of their own.  Of rows that are equal in both, one stays.  All columns stay.
+    """
+    classes = _classes(docs, id_col, text_col, similarity)
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
+    kept = classes.groupBy("component").agg(F.min(row).alias("k")).select("k.id", "k.text_key")
+    counts = classes.groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    same = lambda a, b: a["text_key"].eqNullSafe(b["text_key"]) & a["id"].eqNullSafe(b["id"])
+    marked = materialize(counts.alias("a").join(kept.alias("b"), same({c: F.col(f"a.{c}") for c in ("id", "text_key")}, {c: F.col(f"b.{c}") for c in ("id", "text_key")}), "left").select(F.col("a.id").alias("__id"), F.col("a.text_key").alias("__key"), F.col("a.n").alias("__n"), F.col("b.text_key").isNotNull().alias("__kept")))
+    side = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    here = (_text_key(text_col) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    out = docs.join(side(marked.where("not __kept").select("__id", "__key")), here, "left_anti")
+    repeated = marked.where("__kept and __n > 1").select("__id", "__key")
+    if repeated.isEmpty():
+        return out
+    repeated = side(repeated)
+    again = out.join(repeated, here, "left_semi").withColumn("__key", _text_key(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
+    return out.join(repeated, here, "left_anti").unionByName(again)

@@ -29,7 +29,7 @@ from postlark.llm.components import components
 COSINE = 0.93
 BLOCK = 8
 #: Vectors of a tile, from few to many.
-TILES = 512, 8192
+TILES = 2048, 8192
 #: Cells that may be broadcast; more are joined by shuffle.
 BROADCAST_CELLS = 100_000
 #: Pairs whose vectors are in memory at once.

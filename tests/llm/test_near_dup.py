@@ -98,3 +98,15 @@ def test_ties_and_nulls(spark):
     got = Counter((r.doc_id, r.class_id, r.n_class) for r in near_dup.near_duplicate_classes(docs).collect())
     assert got == {(None, 5, 3): 1, (5, 5, 3): 2, (None, None, 1): 1}
     assert near_dup.near_duplicate_classes(docs.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_every_other_text(spark):
+    a, b, c, d, e, f, g = (" ".join(f"{name}{k}" for k in range(30)) for name in "abcdefg")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, d), (None, e), (None, f), (None, g)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("own"))
+    assert Counter((r.doc_id, r.text) for r in near_dup.keep_one(docs).collect()) == Counter(r for r in rows if r != (5, b))
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id is null"))
+    assert Counter((r.doc_id, r.text) for r in near_dup.keep_one(again).collect()) == Counter(r for r in rows if r != (5, b))
+    tied = spark.createDataFrame([(1, a + " x"), (1, a + " y"), (None, a)], "doc_id long, text string")
+    assert [r.doc_id for r in near_dup.keep_one(tied).collect()] == [1]
+    assert near_dup.keep_one(docs.limit(0)).count() == 0
