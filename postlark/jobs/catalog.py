@@ -20,7 +20,7 @@ from postlark.functions import mail
 from postlark.functions import text as X
 from postlark.jobs import export, messages
 from postlark.operators import dedupe, folders, mime, properties, reports, search, sinks
-from postlark.sources import mbox
+from postlark.sources import mailfiles, mbox
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -577,3 +577,85 @@ def listing_for_comparison(spark, sf_dir):
 @query("""SELECT event_id, ts AS date FROM events ORDER BY ts, event_id LIMIT 50""")
 def oldest_messages(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("date")).orderBy(*reports.oldest_first("event_id")).limit(50)
+
+
+def as_mbox(spark, sf_dir, ends: str = "\nFrom From here\nFrom here on at 10:30\nno field\n") -> str:
+    """Documents written as mbox files with lines that look like separators; one file's name begins with an underscore."""
+    d = table(spark, sf_dir, "documents")
+    entry = F.concat(F.lit("From - Thu Nov 04 12:00:00 1999\nSubject: "), "doc_id", F.lit("\n\n"), X.latin1(F.encode("text", "UTF-8")), F.lit(ends))
+    place = f"{storage.shared_dir(spark)}/mail-{uuid.uuid4().hex}"
+    sinks.write_mbox(d.select("lang", "doc_id", entry.alias("entry")), place, ("lang", "doc_id"))
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    first = next(s.getPath() for s in files.listStatus(jvm.Path(place)) if s.getPath().getName().startswith("part-"))
+    files.rename(first, jvm.Path(place, "_Old"))
+    return place
+
+
+@query("""SELECT doc_id, md5(text || chr(10) || 'From From here' || chr(10) || 'From here on at 10:30' || chr(10) || 'no field' || chr(10)) AS body_md5 FROM documents""")
+def messages_by_extent(spark, sf_dir):
+    """An index of places and lengths from one scan in small ranges; each message's bytes are then read by its place."""
+    raw = mbox.read_mbox(spark, as_mbox(spark, sf_dir), "a", payload=False, range_bytes=1 << 18)
+    index = storage.materialize(mbox.with_headers(raw).select("file_path", "offset", "size", X.header(F.col("headers"), "Subject").cast("long").alias("doc_id")))
+    text = X.latin1(F.col("raw"))
+    return mailfiles.with_bytes(index).select("doc_id", F.md5(X.bytes_of(F.substring(text, F.instr(text, "\n\n") + 2, F.length(text)))).alias("body_md5"))
+
+
+@query(f"""WITH {MESSAGES}, s AS (SELECT *, contains(lower(text), 'license') AND contains(lower(text), 'the') AS hit FROM (SELECT doc_id, text FROM documents))
+SELECT count(*) AS scanned, count(*) FILTER (WHERE hit) AS written, 0::BIGINT AS duplicates, 0::BIGINT AS failures, count(*) FILTER (WHERE NOT hit) AS misses, count(*) FILTER (WHERE hit) AS read_back, sum(CASE WHEN hit THEN doc_id END)::BIGINT AS read_back_ids FROM s""")
+def export_round_trip(spark, sf_dir):
+    """Documents as mbox files, searched in their bodies and exported; the report, and what a reader finds in the export."""
+    source, out = as_mbox(spark, sf_dir, "\n"), f"{storage.shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    report = export.export(spark, [source], out, "license the", search_bodies=True)
+    again = mbox.with_headers(mbox.read_mbox(spark, out)).agg(F.count(F.lit(1)).alias("read_back"), F.sum(X.header(F.col("headers"), "Subject").cast("long")).alias("read_back_ids"))
+    return report.crossJoin(F.broadcast(again))  # one row each
+
+
+@query("""SELECT lang AS file_path, count(*)::BIGINT AS expunged FROM documents WHERE doc_id % 10 = 0 GROUP BY lang""")
+def expunged_messages(spark, sf_dir):
+    return mbox.expunged_counts(mail_text(spark, sf_dir)).select("file_path", "expunged")
+
+
+#: A store whose folder names hold slashes: below each region r its nations n, and beside each nation folders "n/supplier".
+STORE_FOLDERS = """f AS (SELECT 'r' || r_regionkey AS id, 'root' AS up, r_name AS name, 0::BIGINT AS own FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) FROM nation
+UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, n_name || '/' || s_name, s_suppkey % 7 FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def store_folders(spark, sf_dir) -> DataFrame:
+    n, r, s, c = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier", "customer"))
+    own = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("own"))
+    rows = spark.createDataFrame([("root", None, "root", 0)], "folder_id string, parent_id string, name string, own long")
+    rows = rows.union(r.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("root"), "r_name", F.lit(0)))
+    rows = rows.union(n.join(own, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name", F.coalesce("own", F.lit(0))))
+    rows = rows.union(s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("r"), "n_regionkey"), F.concat_ws("/", "n_name", "s_name"), F.col("s_suppkey") % 7))
+    tree = folders.tree_from_parents(rows.withColumn("archive_id", F.lit("w")), F.col("folder_id") == "root")
+    return tree.join(rows.select("folder_id", F.col("own").alias("content_count")), "folder_id")
+
+
+@query(f"""WITH {STORE_FOLDERS}, t AS (SELECT id AS folder_id, own AS total FROM f WHERE id[1] <> 'r' UNION ALL SELECT up, sum(own) FROM f WHERE id[1] <> 'r' GROUP BY up UNION ALL SELECT 'root', sum(own) FROM f) SELECT folder_id, sum(total)::BIGINT AS total FROM t GROUP BY 1""")
+def totals_by_folder(spark, sf_dir):
+    """Subtree totals of a store's folders by their ids: names with slashes don't stand in for folders below others."""
+    totals = folders.subtree_totals(store_folders(spark, sf_dir), path="visited")
+    return totals.select(F.element_at("visited", -1).alias("folder_id"), F.col("total_content_count").alias("total"))
+
+
+@query("""WITH k AS (SELECT 'r' || r_regionkey AS id, r_regionkey AS rk, -1 AS nk, -1 AS sk FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey, n_nationkey, -1 FROM nation UNION ALL SELECT 's' || s_suppkey, n_regionkey, n_nationkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'root' AS folder_id, 0::BIGINT AS folder_order, 1 AS n_steps UNION ALL SELECT id, row_number() OVER (ORDER BY (SELECT r_name FROM region WHERE r_regionkey = rk), nk, sk), CASE WHEN id[1] = 'r' THEN 2 ELSE 3 END FROM k""")
+def preorder_by_folder(spark, sf_dir):
+    """Pre-order of folders whose names hold slashes: a step is a name, whatever is in it."""
+    rows = folders.with_preorder(store_folders(spark, sf_dir), "names", "visited")
+    return rows.select("folder_id", F.col("folder_order").cast("long").alias("folder_order"), F.size("names").alias("n_steps"))
+
+
+@query("""WITH l AS (SELECT r_name AS a, n_name AS n, s_name AS s, s_suppkey % 4 AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT a, n AS id, n AS name, 1 AS depth FROM l WHERE k = 0 UNION SELECT a, n || '.mbox', n, 1 FROM l WHERE k = 1 UNION SELECT a, n, n, 1 FROM l WHERE k = 2 UNION SELECT a, n || '.mbox/', n, 1 FROM l WHERE k = 3
+UNION SELECT a, n || '/' || s, s, 2 FROM l WHERE k = 2 UNION SELECT a, n || '.mbox/', n, 1 FROM l WHERE k = 3)
+SELECT a AS archive_id, id AS folder_id, name, depth, CASE WHEN depth = 2 THEN split_part(id, '/', 1) END AS parent_id FROM f""")
+def mail_file_folders(spark, sf_dir):
+    """Folders of paths: a file X, the folders of X.sbd below it, X.mbox beside it and X.mbox/mbox."""
+    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    rows = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    k, name = F.col("s_suppkey") % 4, F.col("n_name")
+    rel = F.when(k == 0, name).when(k == 1, F.concat(name, F.lit(".mbox"))).when(k == 2, F.concat(name, F.lit(".sbd/"), "s_name")).otherwise(F.concat(name, F.lit(".mbox/mbox")))
+    files = rows.select(F.col("r_name").alias("archive_id"), rel.alias("rel_path"), rel.alias("file_path"))
+    return export.mail_folders(files).select("archive_id", "folder_id", "name", "depth", "parent_id")

@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlark.functions import text as X
 from postlark.jobs import messages
 from postlark.operators import dedupe, folders, reports, search, sinks
-from postlark.sources import mbox
+from postlark.sources import mailfiles, mbox
 from postlark.storage import materialize, small
 
 
-def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """List rows of all archives, in the order given, with the original bytes and ``folder_order``: each mail file's place in pre-order.
+KEYS = ["archive_no", "folder_order", "seq"]
+
 
-    Two files of one folder path (``A`` and ``A.mbox``) have places of their own, so
+def index_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The messages of all archives, in the order given, as a table without their bytes: one scan of the files.
+
+    List rows with ``addresses``, the message's extent (file_path, offset, size), its
+    folder (folder_id, folder_path) and ``folder_order``, each folder's place in pre-order:
     (archive_no, folder_order, seq) identifies a message, as does (archive_no, msg_key).
+    Rows with an ``error`` stand for what couldn't be read of a file.
     """
-    rows = dedupe.union_archives([mbox.message_summaries(mbox.read_mbox(spark, p)) for p in paths])
-    files = dedupe.union_archives([mbox.classify_files(spark, p).where("kind = 'mbox'").select(F.col("path").alias("file_path"), mbox.folder_path(F.col("rel_path")).alias("path")) for p in paths])
-    order = F.row_number().over(Window.partitionBy("archive_no").orderBy(folders.preorder_keys(F.col("path")), "file_path")) - 1
-    return rows.join(small(files.select("archive_no", "file_path", order.alias("folder_order"))), ["archive_no", "file_path"])
+    listed = [messages.searchable(mbox.message_summaries(mbox.read_mbox(spark, p, payload=False, errors=True))) for p in paths]
+    rows = materialize(dedupe.union_archives(listed).drop("raw", "headers"))
+    files = rows.select(F.col("archive_no").alias("archive_id"), "file_path", mbox.folder_steps(F.col("rel_path")).alias("steps")).distinct()
+    tree = folders.with_preorder(folders.folders_from_files(files), keys="keys").where("file_path is not null")
+    places = tree.select(F.col("archive_id").alias("archive_no"), "file_path", F.array_join("path", "/").alias("folder_path"), "folder_order")
+    return rows.drop("folder_path").join(small(materialize(places)), ["archive_no", "file_path"])
 
 
-KEYS = ["archive_no", "folder_order", "seq"]
+def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The readable messages of :func:`index_archives`."""
+    return index_archives(spark, paths).where("error is null").drop("error")
 
 
 def decide(rows: DataFrame, query: str = "", folder: str = "", match: Column | None = None, search_bodies: bool = False) -> DataFrame:
@@ -52,40 +61,61 @@ def failures(decided: DataFrame) -> DataFrame:
     return decided.where("status = 'failure'").select("archive_id", F.concat(search.location(), F.lit(" / "), X.shown_subject(F.col("subject"))).alias("location"), F.col("msg_key").cast("string").alias("msg_key"), "reason")
 
 
-def unreadable_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Failures of whole folders: mail files that couldn't be opened."""
-    found = [mbox.classify_files(spark, p).where("kind = 'unreadable'").select(F.lit(p.rstrip("/").rsplit("/", 1)[-1]).alias("archive_id"), mbox.folder_path(F.col("rel_path")).alias("folder_path")) for p in paths]
-    rows = dedupe.union_archives(found)
-    return rows.select("archive_id", search.location().alias("location"), F.lit(None).cast("string").alias("msg_key"), F.lit("file cannot be opened").alias("reason"))
+def unreadable_files(index: DataFrame, folder: str = "") -> DataFrame:
+    """Failures of whole files of the matching folders: one for each file that couldn't be read, wholly or in part."""
+    rows = mbox.unreadable_files(index.where(search.in_folder(folder)))
+    return rows.select("archive_id", search.location().alias("location"), F.lit(None).cast("string").alias("msg_key"), "reason")
+
+
+def searched(rows: DataFrame, query: str, search_bodies: bool = False) -> DataFrame:
+    """Add ``hit`` to indexed messages: list fields and complete addresses are searched first.
+
+    Only the bytes of what they miss are read and decoded, and only if bodies are searched.
+    """
+    if not query.strip():
+        return rows.withColumn("hit", F.lit(True))
+    hit = search.in_list(query) | search.with_addresses(query)
+    if not search_bodies:
+        return rows.withColumn("hit", hit)
+    missed = messages.with_bodies(mailfiles.with_bytes(rows.where(~hit)))
+    missed = missed.withColumn("hit", search.with_bodies(query)).select(*rows.columns, "body_error", "hit")
+    found = rows.where(hit).withColumns({"body_error": F.lit(None).cast("string"), "hit": F.lit(True)})
+    return found.unionByName(missed)
 
 
 def export(spark: SparkSession, paths: list[str], output: str, query: str = "", folder: str = "", append: bool = False, search_bodies: bool = False, failures_path: str | None = None) -> DataFrame:
     """Write the matching messages as mbox text and return the report; failures go to a Parquet table if it has a path.
 
-    List fields are searched first, then complete addresses and, with
-    ``search_bodies``, plain bodies and attachment names.  Decisions are made once, on
-    keys; what is written and what is reported are both read from them.
+    The files are scanned once, for the index; decisions are made once, on keys.  Then
+    only the bytes of written messages are read, by the tasks that write them in order,
+    so no message's bytes are shuffled.
     """
     sinks.refuse_overlap(spark, output, *paths)
-    rows = read_archives(spark, paths)
-    searched = messages.searchable(rows, search_bodies) if query.strip() else rows
-    match = search.in_list(query) | (search.with_bodies(query) if search_bodies else search.with_addresses(query)) if query.strip() else F.lit(True)
-    decided = materialize(decide(searched, query, folder, match, search_bodies).select(*KEYS, "archive_id", "folder_path", "msg_key", "subject", "status", "reason"))
+    index = index_archives(spark, paths)
+    rows = index.where("error is null").drop("error").where(search.in_folder(folder))
+    decided = materialize(decide(searched(rows, query, search_bodies), query, folder, F.col("hit"), search_bodies).select(*KEYS, "archive_id", "folder_path", "msg_key", "subject", "status", "reason"))
     wanted = rows.join(small(decided.where("status = 'written'").select(*KEYS)), KEYS, "left_semi")
+    ordered = wanted.select(*KEYS, "file_path", "offset", "size", "from_email", "header_date", "archive_id", "folder_path").repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     entry = sinks.mbox_entry(F.col("raw"), F.col("from_email"), F.col("header_date"), sinks.folder_header(F.col("archive_id"), F.col("folder_path")), F.lit(True))
-    sinks.write_mbox(wanted.select(*KEYS, entry.alias("entry")), output, tuple(KEYS), append=append)
+    sinks.write_mbox(mailfiles.with_bytes(ordered).select(entry.alias("entry")), output, append=append, ordered=True)
     if failures_path:
-        failures(decided).unionByName(unreadable_files(spark, paths)).write.mode("error").parquet(failures_path)
+        failures(decided).unionByName(unreadable_files(index, folder)).write.mode("error").parquet(failures_path)
     return reports.export_report(decided)
 
 
-def folder_list(rows: DataFrame) -> DataFrame:
-    """Folders with their own and all counts, in list order."""
-    counts = folders.message_counts(rows, "archive_id", "folder_path").withColumnRenamed("folder_path", "path")
-    tree = folders.folders_from_paths(rows.select("archive_id", "folder_path", F.lit("-").alias("file_path")).distinct())
-    joined = tree.join(counts, ["archive_id", "path"], "left").fillna(0, ["content_count", "unread_count"])
-    totals = folders.subtree_totals(joined, ("content_count", "unread_count"))
-    return folders.with_preorder(joined.join(totals, ["archive_id", "path"])).select("archive_id", "folder_order", "path", "name", "depth", "content_count", "unread_count", "total_content_count", "total_unread_count")
+def mail_folders(files: DataFrame) -> DataFrame:
+    """The folder tree of mail files (archive_id, file_path, rel_path), in pre-order."""
+    return folders.with_preorder(folders.folders_from_files(files.select("archive_id", "file_path", mbox.folder_steps(F.col("rel_path")).alias("steps")).distinct()), keys="keys")
+
+
+def folder_list(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Folders with their own and all counts, in list order; ``files`` (archive_id, file_path, rel_path) may add those without messages."""
+    own = rows.select("archive_id", "file_path", "rel_path")
+    tree = mail_folders(own if files is None else own.unionByName(files.select(*own.columns)))
+    counts = folders.message_counts(rows, "archive_id", "folder_id")
+    counted = tree.join(counts, ["archive_id", "folder_id"], "left").fillna(0, ["content_count", "unread_count"])
+    totals = folders.subtree_totals(counted, ("content_count", "unread_count"), "keys")
+    return counted.join(totals, ["archive_id", "keys"]).select("archive_id", "folder_id", "folder_order", F.array_join("path", "/").alias("path"), "name", "depth", "content_count", "unread_count", "total_content_count", "total_unread_count")
 
 
 def body_search(rows: DataFrame, query: str) -> DataFrame:
@@ -100,9 +130,9 @@ def shown_subject(rows: DataFrame) -> DataFrame:
 
 
 def archive_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Mail files, bytes, folders, messages, unread and expunged ones of each archive."""
-    raw = [mbox.read_mbox(spark, p) for p in paths]
-    files = dedupe.union_archives([mbox.classify_files(spark, p).where("kind in ('mbox', 'empty')").select(F.lit(p.rstrip("/").rsplit("/", 1)[-1]).alias("archive_id"), "size_bytes", mbox.folder_path(F.col("rel_path")).alias("folder_path"), F.col("path").alias("file_path")) for p in paths])
-    rows = dedupe.union_archives([mbox.message_summaries(r) for r in raw])
-    expunged = dedupe.union_archives([mbox.expunged_counts(r) for r in raw]).groupBy("archive_id").agg(F.sum("expunged").alias("expunged"))
-    return folders.archive_facts(files, folders.folders_from_paths(files), folders.message_counts(rows, "archive_id", "folder_path"), expunged)
+    """Mail files, bytes, folders, messages, unread and expunged ones of each archive; the files are scanned once."""
+    h = F.col("headers")
+    rows = dedupe.union_archives([mbox.with_headers(mbox.read_mbox(spark, p, payload=False)) for p in paths]).select("archive_id", "file_path", "folder_path", mbox.is_expunged(h).alias("gone"), mbox.is_read(h).alias("read"))
+    each = materialize(rows.groupBy("archive_id", "file_path", "folder_path").agg(F.count_if(~F.col("gone")).alias("content_count"), F.count_if(~F.col("gone") & ~F.col("read")).alias("unread_count"), F.count_if("gone").alias("expunged")))
+    files = materialize(dedupe.union_archives([mbox.classify_files(spark, p).where("kind in ('mbox', 'empty')").select(F.lit(mbox.archive_name(p)).alias("archive_id"), "size_bytes", F.col("path").alias("file_path"), "rel_path") for p in paths]))
+    return folders.archive_facts(files, mail_folders(files), each, each.groupBy("archive_id").agg(F.sum("expunged").alias("expunged")))

@@ -27,8 +27,8 @@ def searchable(rows: DataFrame, bodies: bool = False) -> DataFrame:
 
 
 def with_bodies(rows: DataFrame) -> DataFrame:
-    """Add body_text (plain, else of the HTML), body_html, body_kind, attachments, attachment_names and body_error to raw messages."""
-    kept = [c for c in rows.columns if c not in ("body_text", "body_html", "body_kind", "attachments", "attachment_names", "body_error")]
+    """Raw messages with body_text (plain, else of the HTML), body_html, body_kind, attachments, attachment_names and body_error in place of ``raw``."""
+    kept = [c for c in rows.columns if c not in ("raw", "body_text", "body_html", "body_kind", "attachments", "attachment_names", "body_error")]
     keyed = rows.select(F.struct(*kept).alias("__row"), "raw")
     parts = mime.bodies_and_attachments(mime.message_parts(keyed, "__row"), "__row")
     plain, kind = mime.body_of(F.col("body_text"), F.lit(None).cast("string"), F.col("body_html"))

@@ -1,162 +1,83 @@
 """Mbox files and folder trees as DataFrames.
 
-Files are split by Spark's text source at line ends before 'From ', so a large
-file is read by many tasks.  A 'From ' line starts a message only if it carries a
-time and a header field follows; messages with other 'From ' lines in their texts are
-put together again, by counts of true starts in each block of a file.
+Tasks read ranges of bytes of the files (see :mod:`postlark.sources.mailfiles`).  A 'From '
+line starts a message only if it carries a time and a header field follows; all other
+'From ' lines belong to the text.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlark.functions import mail
 from postlark.functions import text as X
-from postlark.storage import materialize, small
-
-#: Bytes of a file's head that are read at first, and as far as a line end is looked for.
-_FIRST, _HEAD = 1024, 65536
-_LISTED = "path string, rel_path string, size_bytes long, kind string, eol string"
-_OPENERS = 32
+from postlark.sources import mailfiles
 
 
 def classify_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, size_bytes, kind, eol) of all files under ``root``; kind is mbox, empty, pst, other or unreadable.
+    """(path, rel_path, size_bytes, kind, eol, error) of all files under ``root``; kind is mbox, empty, pst, other or unreadable.
 
-    The driver lists the files, as Spark's own file sources do, and looks at the first
-    KB of each, many at a time (up to 64 KB where no line end comes sooner).  Hidden
-    files (a leading dot) are left out; those that can't be opened are unreadable.
+    Tasks look at the heads of the files.  Hidden files (a leading dot) are left out.
     """
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = fs.makeQualified(base)
-    prefix, found, files = base.toString().rstrip("/"), fs.listFiles(base, True), []
-    while found.hasNext():
-        status = found.next()
-        path = status.getPath().toString()
-        rel = path[len(prefix) + 1:] or status.getPath().getName()
-        if not any(part.startswith(".") for part in rel.split("/")):
-            files.append((path, rel, status.getLen()))
-
-    def head(path: str, size: int) -> bytes | None:
-        try:
-            stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
-            try:
-                start = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, _FIRST)))
-                more = min(size, _HEAD) - len(start)
-                return start + bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, more)) if more and b"\n" not in start and start[:5] == b"From " else start
-            finally:
-                stream.close()
-        except Py4JJavaError:
-            return None
-
-    def classified(file: tuple[str, str, int]) -> tuple:
-        path, rel, size = file
-        first = head(path, size) if size else b""
-        extension = rel.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in rel.rsplit("/", 1)[-1] else ""
-        if first is None:
-            return path, rel, size, "unreadable", "\n"
-        kind = "pst" if first[:4] == b"!BDN" else "mbox" if first[:5] == b"From " else "empty" if not size and extension in ("", "mbox", "mbx") else "other"
-        return path, rel, size, kind, "\r" if b"\r" in first and b"\n" not in first else "\n"
-
-    with ThreadPoolExecutor(_OPENERS) as pool:
-        rows = list(pool.map(classified, files))
-    return spark.createDataFrame(rows, _LISTED)
+    return mailfiles.load(spark, mailfiles.MailFiles, root)
 
 
-def folder_path(rel_path: Column) -> Column:
-    """A mail file's folder: '.sbd' holds subfolders, 'X.mbox/mbox' is one folder, '.mbox' and '.mbx' don't show."""
-    path = F.regexp_replace(rel_path, "(?i)\\.mbox/mbox$", "")
-    path = F.regexp_replace(path, "(?i)\\.(mbox|mbx)$", "")
-    return F.regexp_replace(F.regexp_replace(path, "(?i)\\.sbd/", "/"), "(?i)\\.mbox/", "/")
+def folder_steps(rel_path: Column) -> Column:
+    """A mail file's folder and those above it, as array<struct<key,name>>; equal keys are one folder.
+
+    'X.sbd' holds the subfolders of the file 'X', so both have the key 'X'; a file 'X.mbox'
+    is another folder that shows the name X as well.  'X.mbox/mbox' is one folder, other
+    directories are folders of their own.
+    """
+    parts = F.split(rel_path, "/")
+    apple = F.get(parts, F.size(parts) - 1).eqNullSafe("mbox") & F.lower(F.coalesce(F.get(parts, F.size(parts) - 2), F.lit(""))).endswith(".mbox")
+    used = F.when(apple, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    bare = lambda p: F.regexp_replace(p, "(?i)(?<=.)\\.(mbox|mbx)$", "")
 
+    def step(p: Column, i: Column) -> Column:
+        is_file, is_apple = (i == F.size(parts) - 1), apple & (i == F.size(parts) - 2)
+        holder = F.lower(p).endswith(".sbd")
+        above = F.regexp_replace(p, "(?i)\\.sbd$", "")
+        key = F.when(is_file, p).when(holder & ~is_apple, above).otherwise(F.concat(p, F.lit("/")))
+        return F.struct(key.alias("key"), F.when(is_file | is_apple, bare(p)).when(holder, above).otherwise(p).alias("name"))
 
-def is_start(record: Column, eol: str = "\n") -> Column:
-    """Whether a record, 'From ' included, starts a message: a time in its first line, a field name in its second."""
-    line = "[^\\n]*" if eol == "\n" else "[^\\r]*"
-    end = "\\n" if eol == "\n" else "\\r"
-    return record.rlike(f"^From {line}[0-9]:[0-9][0-9]{line}{end}[\\x21-\\x39\\x3b-\\x7e]+:")
+    return F.transform(used, step)
 
 
-def _fixed_splits(spark: SparkSession) -> None:
-    """Keep file splits the same for the whole session: places of records are compared between scans."""
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+def folder_id(rel_path: Column) -> Column:
+    """What tells a mail file's folder from all others of its archive."""
+    return F.array_join(F.transform(folder_steps(rel_path), lambda s: s["key"]), "/")
 
 
-PLACE = ["file_path", "block", "mid"]
+def folder_path(rel_path: Column) -> Column:
+    """The names of a mail file's folder and those above it, joined: '.sbd', '.mbox' and '.mbx' don't show."""
+    return F.array_join(F.transform(folder_steps(rel_path), lambda s: s["name"]), "/")
 
 
-def _records(spark: SparkSession, paths: list[str], eol: str) -> DataFrame:
-    """(file_path, block, mid, record, start): text between 'From ' lines, one character for each byte."""
-    escaped = ["".join("\\" + c if c in "*?[]{}\\" else c for c in p) for p in paths]
-    raw = spark.read.option("lineSep", f"{eol}From ").text(escaped)
-    rows = raw.select("_metadata.file_path", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), X.latin1(F.col("value").cast("binary")).alias("t"))
-    # The first record of a file has kept its 'From '.
-    rows = rows.withColumn("record", F.when((F.col("block") == 0) & F.col("t").startswith("From "), F.col("t")).otherwise(F.concat(F.lit("From "), "t"))).drop("t")
-    return rows.withColumn("start", is_start(F.col("record"), eol))
+def archive_name(root: str) -> str:
+    return unquote(root.rstrip("/").rsplit("/", 1)[-1])
 
 
-def _glued(records: DataFrame) -> tuple[DataFrame, bool]:
-    """(place, g, last, several) of the records that need a look at others, and whether a message has several records.
+def read_mbox(spark: SparkSession, root: str, archive_id: str | None = None, payload: bool = True, errors: bool = False, range_bytes: int = mailfiles.RANGE_BYTES) -> DataFrame:
+    """Raw messages of all mbox files under ``root``: archive_id, folder_path, folder_id, file_path, block, mid, offset, size, sep_line, raw.
 
-    Message g of a file is its record with a true start and the false ones behind it.
-    True starts are counted by block of a file, then within each block, on keys only.
-    """
-    keys = materialize(records.select(*PLACE, "start"))
-    starts = keys.groupBy("file_path", "block").agg(F.count_if("start").alias("n"))
-    before = starts.select("file_path", "block", (F.sum("n").over(Window.partitionBy("file_path").orderBy("block")) - F.col("n")).alias("before"))
-    within = F.count_if("start").over(Window.partitionBy("file_path", "block").orderBy("mid"))
-    placed = keys.withColumn("w", within).join(small(before), ["file_path", "block"]).withColumn("g", F.col("before") + F.col("w"))
-    several = placed.where("not start").select("file_path", "g", F.lit(True).alias("several")).distinct()
-    several = materialize(several)
-    last = keys.groupBy("file_path").agg(F.max(F.struct("block", "mid")).alias("l")).select("file_path", "l.block", "l.mid", F.lit(True).alias("last"))
-    marked = placed.select(*PLACE, "g").join(small(several), ["file_path", "g"], "left").join(small(last), PLACE, "left").where("several or last")
-    return materialize(marked.select(*PLACE, "g", F.coalesce("last", F.lit(False)).alias("last"), F.coalesce("several", F.lit(False)).alias("several"))), not several.isEmpty()
-
-
-def _messages(records: DataFrame, eol: str) -> DataFrame:
-    marks, any_glued = _glued(records)
-    marked = records.join(small(marks), PLACE, "left").withColumns({"last": F.coalesce("last", F.lit(False)), "several": F.coalesce("several", F.lit(False))})
-    whole = marked.where(~F.col("several")).select(*PLACE, "record", "last")
-    if any_glued:  # text before a file's first message has g = 0
-        hard = marked.where("several and g > 0").groupBy("file_path", "g").agg(F.array_sort(F.collect_list(F.struct("block", "mid", "record"))).alias("all"), F.bool_or("last").alias("last"))  # one message's
-        whole = whole.unionByName(hard.select("file_path", F.col("all")[0]["block"].alias("block"), F.col("all")[0]["mid"].alias("mid"), F.array_join(F.transform("all", lambda r: r["record"]), eol).alias("record"), "last"))
-    text = F.substring(F.col("record"), F.instr("record", eol) + 1, F.length("record"))
-    trimmed = F.when(F.col("last"), F.regexp_replace(text, f"{'\\n' if eol == chr(10) else '\\r'}\\z", "")).otherwise(text)
-    trimmed = F.regexp_replace(trimmed, "\\r\\z", "") if eol == "\n" else trimmed
-    return whole.select(*PLACE, F.regexp_replace(F.substring_index("record", eol, 1), "\\r$", "").alias("sep_line"), trimmed.alias("t")).where("t <> ''")
-
-
-def read_mbox(spark: SparkSession, root: str, archive_id: str | None = None) -> DataFrame:
-    """Raw messages of all mbox files under ``root``: archive_id, folder_path, file_path, block, mid, sep_line, raw, size.
-
-    ``raw`` holds the bytes as they are in the file; (block, mid) orders a file's
-    messages.  Empty messages are dropped.
+    ``raw`` holds the bytes as they are in the file, ``size`` of them from ``offset`` on;
+    (block, mid) orders a file's messages.  Without ``payload`` it holds the first 256 KB,
+    enough for all list columns.  Empty messages are dropped.  With ``errors`` there is an
+    ``error`` column, and a row without a message for each range that couldn't be read.
     """
-    _fixed_splits(spark)
-    files = classify_files(spark, root).where("kind = 'mbox'")
-    listed = files.select("path", "eol").collect()  # the listing came from the driver
-    out = None
-    for eol in ("\n", "\r"):
-        paths = [r["path"] for r in listed if r["eol"] == eol]
-        if paths:
-            part = _messages(_records(spark, paths, eol), eol)
-            out = part if out is None else out.unionByName(part)
-    name = archive_id or unquote(root.rstrip("/").rsplit("/", 1)[-1])
-    places = files.select(F.col("path").alias("p"), folder_path(F.col("rel_path")).alias("folder_path"))
-    if out is None:
-        out = spark.createDataFrame([], "file_path string, block long, mid long, sep_line string, t string")
-    decoded = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
-    out = out.withColumn("p", F.regexp_replace(decoded, "^(file:)/+", "$1/")).join(small(places), "p")
-    raw = X.bytes_of(F.col("t"))
-    return out.select(F.lit(name).alias("archive_id"), "folder_path", F.col("p").alias("file_path"), "block", "mid", "sep_line", raw.alias("raw"), F.octet_length(raw).cast("long").alias("size"))
+    rows = mailfiles.load(spark, mailfiles.Mbox, root, payload=str(payload).lower(), range_bytes=str(range_bytes))
+    rel = F.col("rel_path")
+    out = rows.select(F.lit(archive_id or archive_name(root)).alias("archive_id"), folder_path(rel).alias("folder_path"), folder_id(rel).alias("folder_id"), "file_path", "rel_path", "block", "mid", "offset", "size", "sep_line", "raw", "error")
+    return out if errors else out.where("error is null").drop("error")
+
+
+def unreadable_files(rows: DataFrame) -> DataFrame:
+    """(archive_id, folder_path, file_path, reason) of the files that have rows with an ``error``, one for each file."""
+    return rows.where("error is not null").groupBy("archive_id", "folder_path", "file_path").agg(F.min_by("error", "block").alias("reason"))
 
 
 HEADER_BYTES = 262_144
@@ -196,8 +117,8 @@ def full_importance(headers: Column) -> Column:
 
 
 def expunged_counts(raw: DataFrame) -> DataFrame:
-    """(archive_id, file_path, expunged): messages that a mail file holds but doesn't show."""
-    return with_headers(raw).where(is_expunged(F.col("headers"))).groupBy("archive_id", "file_path").agg(F.count(F.lit(1)).alias("expunged"))
+    """(archive_id, file_path, expunged): messages that a mail file holds but doesn't show; ``raw`` may have headers already."""
+    return (raw if "headers" in raw.columns else with_headers(raw)).where(is_expunged(F.col("headers"))).groupBy("archive_id", "file_path").agg(F.count(F.lit(1)).alias("expunged"))
 
 
 def guesses_attachments(kind: Column) -> Column:
@@ -218,7 +139,8 @@ def people(headers: Column, field: str) -> Column:
 def message_summaries(raw: DataFrame, default_minutes: int = 0) -> DataFrame:
     """List rows of raw messages that aren't expunged, with ``seq`` counted within each file.
 
-    Counting goes by file block, so a large file isn't one task's.
+    Counting goes by file block, so a large file isn't one task's.  Rows of what couldn't
+    be read (no ``mid``) stay and don't count.  Columns of the raw messages stay.
     """
     h = F.col("headers")
     rows = with_headers(raw).where(~is_expunged(h))
@@ -228,8 +150,9 @@ def message_summaries(raw: DataFrame, default_minutes: int = 0) -> DataFrame:
         "header_date": mail.mail_date(mail.words(X.header(h, "Date")), default_minutes), "sep_date": mail.mail_date(F.substring("sep_line", 6, 10_000), default_minutes),
     })
     flags = F.when(is_read(h), 1).otherwise(0).bitwiseOR(F.when(guesses_attachments(F.col("ct.type")), 16).otherwise(0))
+    own = ("subject", "from_name", "from_email", "to_list", "cc_list", "date", "header_date", "flags", "message_class", "importance", "message_id")
     listed = base.select(
-        "archive_id", "folder_path", "file_path", "block", "mid", "sep_line", "raw", "size", "headers", "subject",
+        *(c for c in rows.columns if c not in own), "subject",
         F.coalesce(F.when(F.col("sender.name") == "", F.col("sender.email")).otherwise(F.col("sender.name")), F.lit("")).alias("from_name"), F.coalesce("sender.email", F.lit("")).alias("from_email"),
         names(F.col("to_people")).alias("to_list"), names(F.col("cc_people")).alias("cc_list"), F.coalesce("header_date", "sep_date").alias("date"), "header_date", flags.alias("flags"),
         F.lit("IPM.Note").alias("message_class"), list_importance(h).alias("importance"), X.strip(F.coalesce(X.header(h, "Message-ID"), F.lit(""))).alias("message_id"))
@@ -238,8 +161,8 @@ def message_summaries(raw: DataFrame, default_minutes: int = 0) -> DataFrame:
 
 def number_messages(rows: DataFrame) -> DataFrame:
     """Add ``seq``, from 0 in each file by (block, mid), and ``msg_key``."""
-    within = F.row_number().over(Window.partitionBy("file_path", "block").orderBy("mid"))
-    blocks = rows.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("n"))
+    within = F.row_number().over(Window.partitionBy("file_path", "block").orderBy(F.col("mid").asc_nulls_last()))
+    blocks = rows.groupBy("file_path", "block").agg(F.count("mid").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file_path").orderBy("block")) - F.col("n")
     numbered = rows.withColumn("w", within).join(blocks.select("file_path", "block", before.alias("before")), ["file_path", "block"])
     return numbered.withColumn("seq", F.col("before") + F.col("w") - 1).withColumn("msg_key", F.concat_ws("#", "file_path", F.col("seq").cast("string"))).drop("w", "before")
