@@ -14,11 +14,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postlark import storage
+from postlark import schemas, storage
 from postlark.functions import mail
 from postlark.functions import text as X
-from postlark.jobs import export, messages
+from postlark.jobs import export, messages, stores
 from postlark.operators import dedupe, folders, mime, properties, reports, search, sinks
 from postlark.sources import mailfiles, mbox
 
@@ -659,3 +660,44 @@ def mail_file_folders(spark, sf_dir):
     rel = F.when(k == 0, name).when(k == 1, F.concat(name, F.lit(".mbox"))).when(k == 2, F.concat(name, F.lit(".sbd/"), "s_name")).otherwise(F.concat(name, F.lit(".mbox/mbox")))
     files = rows.select(F.col("r_name").alias("archive_id"), rel.alias("rel_path"), rel.alias("file_path"))
     return export.mail_folders(files).select("archive_id", "folder_id", "name", "depth", "parent_id")
+
+
+def store_table(rows: DataFrame, name: str) -> DataFrame:
+    """The columns of a store table; those that ``rows`` lacks are null."""
+    wanted = T.StructType.fromDDL(schemas.TABLES[f"store_{name}"])
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS nid, o_custkey, o_orderstatus AS st, o_orderkey % 50 = 0 AS bad, contains(lower(o_orderpriority), 'urgent') OR contains('p' || o_custkey || '@x.org', 'urgent') AS hit FROM orders WHERE o_orderstatus <> 'F'),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY st, nid) AS rn FROM s WHERE hit AND NOT bad))
+SELECT (SELECT count(*) FROM s) AS scanned, count(*) FILTER (WHERE rn = 1) AS written, count(*) FILTER (WHERE rn > 1) AS duplicates, (SELECT count(*) FROM s WHERE bad) AS failures, (SELECT count(*) FROM s WHERE NOT bad AND NOT hit) AS misses,
+count(*) FILTER (WHERE rn = 1) AS read_back, coalesce(sum(nid) FILTER (WHERE rn = 1), 0)::BIGINT AS read_back_ids FROM w""")
+def export_from_store(spark, sf_dir):
+    """Orders as a store's messages, with line items as recipients, searched in their bodies, once per Message-ID and built; the report and what a reader finds."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    tree = spark.createDataFrame([("w", 1, None, "root"), ("w", 2, 1, "Done/F"), ("w", 3, 1, "Open/O"), ("w", 4, 1, "Open/P")], schemas.TABLES["store_folders"])
+    folder = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 3).otherwise(4)
+    key = lambda rows, nid: rows.withColumns({"archive_id": F.lit("w"), "nid": F.col(nid)})
+    contents = key(o, "o_orderkey").withColumns({"folder_nid": folder, "subject": F.col("o_orderkey").cast("string"), "sender_name": F.lit("P"), "sender_email": F.concat(F.lit("p"), "o_custkey", F.lit("@x.org")), "submit_time": F.col("o_orderdate"), "message_class": F.lit("IPM.Note"), "message_id": F.concat(F.lit("<"), "o_custkey", F.lit(">"))})
+    people = key(li, "l_orderkey").select("archive_id", "nid", "l_suppkey").distinct().withColumns({"pos": F.col("l_suppkey"), "kind": F.lit(1), "name": F.concat(F.lit("S"), "l_suppkey"), "email": F.concat(F.lit("s"), "l_suppkey", F.lit("@x.org"))})
+    bodies = key(o, "o_orderkey").withColumns({"body_text": F.col("o_orderpriority"), "body_error": F.when(F.col("o_orderkey") % 50 == 0, "body cannot be read")})
+    store = stores.Store(tree, store_table(contents, "contents"), store_table(people, "recipients"), store_table(people.limit(0), "attachments"), store_table(bodies, "bodies"))
+    out = f"{storage.shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    report = export.export(spark, [store], out, "urgent", "open/", search_bodies=True)
+    again = mbox.with_headers(mbox.read_mbox(spark, out)).agg(F.count(F.lit(1)).alias("read_back"), F.coalesce(F.sum(X.header(F.col("headers"), "Subject").cast("long")), F.lit(0)).alias("read_back_ids"))
+    return report.crossJoin(F.broadcast(again))  # one row each
+
+
+@query("""SELECT doc_id, 3::BIGINT AS n_messages, 'doc ' || doc_id AS subject, source AS outer_text, lang AS middle_text, md5(text) AS inner_md5 FROM documents""")
+def nested_messages(spark, sf_dir):
+    """Documents in messages within messages within messages of a store: built from the innermost out, and parsed again."""
+    d = table(spark, sf_dir, "documents").withColumn("archive_id", F.lit("w"))
+    level = lambda k: d.withColumns({"nid": F.col("doc_id") * 3 + k, "subject": F.concat(F.lit("doc "), "doc_id") if k == 0 else F.lit(f"level {k}"), "body_text": F.col(("source", "lang", "text")[k]), "folder_nid": F.lit(2 if k == 0 else None), "embedded_nid": F.col("doc_id") * 3 + k + 1, "message_class": F.lit("IPM.Note")})
+    every = level(0).unionByName(level(1)).unionByName(level(2))
+    files = level(0).unionByName(level(1)).withColumns({"att_no": F.lit(0), "filename": F.lit("inside"), "method": F.lit(5), "size": F.lit(0), "is_hidden": F.lit(False)})
+    tree = spark.createDataFrame([("w", 1, None, "root"), ("w", 2, 1, "Mail")], schemas.TABLES["store_folders"])
+    store = stores.Store(tree, store_table(every, "contents"), store_table(every.limit(0), "recipients"), store_table(files, "attachments"), store_table(every, "bodies"))
+    built = stores.as_eml(store, level(0).select("archive_id", "nid")).select((F.col("nid") / 3).cast("long").alias("doc_id"), F.col("eml").alias("raw"))
+    parts = mime.message_parts(built, "doc_id").withColumn("texts", F.transform(F.filter("parts", lambda p: p["leaf"] & (p["content_type"] == "text/plain")), lambda p: p["text"]))
+    heads = mbox.with_headers(built).select("doc_id", X.header(F.col("headers"), "Subject").alias("subject"))
+    return parts.join(heads, "doc_id").select("doc_id", F.size("texts").cast("long").alias("n_messages"), "subject", F.get("texts", 0).alias("outer_text"), F.get("texts", 1).alias("middle_text"), F.md5(F.get("texts", 2)).alias("inner_md5"))

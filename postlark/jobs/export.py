@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlark.functions import text as X
-from postlark.jobs import messages
+from postlark.jobs import messages, stores
 from postlark.operators import dedupe, folders, reports, search, sinks
 from postlark.sources import mailfiles, mbox
 from postlark.storage import materialize, small
@@ -15,16 +17,20 @@ from postlark.storage import materialize, small
 KEYS = ["archive_no", "folder_order", "seq"]
 
 
-def index_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+def index_archives(spark: SparkSession, paths: list[str], numbers: list[int] | None = None) -> DataFrame:
     """The messages of all archives, in the order given, as a table without their bytes: one scan of the files.
 
     List rows with ``addresses``, the message's extent (file_path, offset, size), its
     folder (folder_id, folder_path) and ``folder_order``, each folder's place in pre-order:
     (archive_no, folder_order, seq) identifies a message, as does (archive_no, msg_key).
-    Rows with an ``error`` stand for what couldn't be read of a file.
+    Rows with an ``error`` stand for what couldn't be read of a file.  ``numbers`` are the
+    archives' places among others.
     """
     listed = [messages.searchable(mbox.message_summaries(mbox.read_mbox(spark, p, payload=False, errors=True))) for p in paths]
-    rows = materialize(dedupe.union_archives(listed).drop("raw", "headers"))
+    numbered = dedupe.union_archives(listed)
+    if numbers:
+        numbered = numbered.withColumn("archive_no", F.get(F.array(*map(F.lit, numbers)), F.col("archive_no")))
+    rows = materialize(numbered.drop("raw", "headers"))
     files = rows.select(F.col("archive_no").alias("archive_id"), "file_path", mbox.folder_steps(F.col("rel_path")).alias("steps")).distinct()
     tree = folders.with_preorder(folders.folders_from_files(files), keys="keys").where("file_path is not null")
     places = tree.select(F.col("archive_id").alias("archive_no"), "file_path", F.array_join("path", "/").alias("folder_path"), "folder_order")
@@ -43,14 +49,16 @@ def decide(rows: DataFrame, query: str = "", folder: str = "", match: Column | N
     ``body_error`` and ``attachment_error``.  Any of them makes a match a failure, and
     an unreadable copy doesn't hide a readable one.  A miss is a failure too if what
     was searched couldn't be read; bodies and attachments count only with ``search_bodies``.
+    Rows that aren't the ``first_entry`` of a store's message are duplicates.
     """
     rows = rows.where(search.in_folder(folder))
     hit = search.in_list(query) if match is None else match
     given = lambda *names: F.coalesce(*(F.col(c) for c in names if c in rows.columns), F.lit(None).cast("string"))
     all_errors = given("recipient_error", "body_error", "attachment_error")
     searched = all_errors if search_bodies else given("recipient_error")
-    reason = F.when(hit, all_errors).otherwise(searched)
-    rows = rows.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNotNull(), "failure").when(~hit, "miss").otherwise("candidate"))
+    first = F.col("first_entry") if "first_entry" in rows.columns else F.lit(True)
+    reason = F.when(~first, None).when(hit, all_errors).otherwise(searched)
+    rows = rows.withColumn("reason", reason).withColumn("status", F.when(~first, "duplicate").when(F.col("reason").isNotNull(), "failure").when(~hit, "miss").otherwise("candidate"))
     marked = dedupe.once_per_message_id(rows.where("status = 'candidate'").select(*KEYS, "archive_id", "message_id")).select(*KEYS, "first_copy")
     joined = rows.join(marked, KEYS, "left")
     return joined.withColumn("status", F.when(F.col("status") != "candidate", F.col("status")).when(F.col("first_copy"), "written").otherwise("duplicate")).drop("first_copy")
@@ -83,23 +91,43 @@ def searched(rows: DataFrame, query: str, search_bodies: bool = False) -> DataFr
     return found.unionByName(missed)
 
 
-def export(spark: SparkSession, paths: list[str], output: str, query: str = "", folder: str = "", append: bool = False, search_bodies: bool = False, failures_path: str | None = None) -> DataFrame:
-    """Write the matching messages as mbox text and return the report; failures go to a Parquet table if it has a path.
+def export(spark: SparkSession, sources: list[str | stores.Store], output: str, query: str = "", folder: str = "", append: bool = False, search_bodies: bool = False, failures_path: str | None = None) -> DataFrame:
+    """Write the matching messages of mbox files and stores as mbox text and return the report; failures go to a Parquet table if it has a path.
 
-    The files are scanned once, for the index; decisions are made once, on keys.  Then
-    only the bytes of written messages are read, by the tasks that write them in order,
-    so no message's bytes are shuffled.
+    ``sources`` are paths of mbox files or trees, and decoded stores, in the order in which
+    copies count.  Files are scanned once, for an index; decisions are made once, on keys,
+    over all sources.  Then only the bytes of written messages are read from the files, by
+    the tasks that write them in order, so these are never shuffled; messages of stores
+    are built where their tables lie and shuffled once, into the order of the output.
     """
-    sinks.refuse_overlap(spark, output, *paths)
-    index = index_archives(spark, paths)
-    rows = index.where("error is null").drop("error").where(search.in_folder(folder))
-    decided = materialize(decide(searched(rows, query, search_bodies), query, folder, F.col("hit"), search_bodies).select(*KEYS, "archive_id", "folder_path", "msg_key", "subject", "status", "reason"))
-    wanted = rows.join(small(decided.where("status = 'written'").select(*KEYS)), KEYS, "left_semi")
-    ordered = wanted.select(*KEYS, "file_path", "offset", "size", "from_email", "header_date", "archive_id", "folder_path").repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
+    paths = {k: s for k, s in enumerate(sources) if isinstance(s, str)}
+    others = {k: s for k, s in enumerate(sources) if k not in paths}
+    sinks.refuse_overlap(spark, output, *paths.values())
+    candidates, index = [], None
+    if paths:
+        index = index_archives(spark, list(paths.values()), list(paths))
+        rows = index.where("error is null").drop("error").where(search.in_folder(folder))
+        candidates.append(searched(rows, query, search_bodies).withColumn("first_entry", F.lit(True)))
+    candidates += [stores.index(s, k, folder).withColumn("hit", search.with_bodies(query) if search_bodies else search.with_addresses(query)) for k, s in others.items()]
+    columns = [*KEYS, "archive_id", "folder_path", "msg_key", "subject", "message_id", "hit", "first_entry"]
+    kinds = ("recipient_error", "body_error", "attachment_error")
+    with_kinds = lambda rows: rows.select(*columns, *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in kinds))
+    every = reduce(DataFrame.unionByName, [with_kinds(c) for c in candidates])
+    decided = materialize(decide(every, query, folder, F.col("hit"), search_bodies).select(*KEYS, "archive_id", "folder_path", "msg_key", "subject", "status", "reason"))
+    written, out = decided.where("status = 'written'"), []
+    kept = [*KEYS, "archive_id", "folder_path"]
+    none = lambda **kinds: [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    if paths:
+        out.append(rows.join(small(written.select(*KEYS)), KEYS, "left_semi").select(*kept, "file_path", "offset", "size", "from_email", "header_date", *none(entry="string")))
+    for k, s in others.items():
+        own = written.where(F.col("archive_no") == k).select(*kept, F.col("seq").alias("nid"))
+        out.append(stores.entries(s, own).select(*kept, *none(file_path="string", offset="long", size="long", from_email="string", header_date="timestamp"), "entry"))
+    ordered = reduce(DataFrame.unionByName, out).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     entry = sinks.mbox_entry(F.col("raw"), F.col("from_email"), F.col("header_date"), sinks.folder_header(F.col("archive_id"), F.col("folder_path")), F.lit(True))
-    sinks.write_mbox(mailfiles.with_bytes(ordered).select(entry.alias("entry")), output, append=append, ordered=True)
+    sinks.write_mbox(mailfiles.with_bytes(ordered).select(F.coalesce("entry", entry).alias("entry")), output, append=append, ordered=True)
     if failures_path:
-        failures(decided).unionByName(unreadable_files(index, folder)).write.mode("error").parquet(failures_path)
+        failed = failures(decided)
+        (failed if index is None else failed.unionByName(unreadable_files(index, folder))).write.mode("error").parquet(failures_path)
     return reports.export_report(decided)
 
 

@@ -45,26 +45,31 @@ def full_messages(rows: DataFrame) -> DataFrame:
     return with_bodies(out.withColumn("addresses", _addresses(F.col("from_email"), F.col("recipients"))))
 
 
-def store_messages(contents: DataFrame, recipients: DataFrame, attachments: DataFrame, bodies: DataFrame) -> DataFrame:
+def store_messages(contents: DataFrame, recipients: DataFrame, attachments: DataFrame, bodies: DataFrame, payload: bool = True) -> DataFrame:
     """Contents rows of a decoded store joined with recipients, attachments and bodies of their nodes: full messages to search and to build.
 
     ``recipients`` (archive_id, nid, pos, kind, name, email) and ``attachments``
     (archive_id, nid, att_no, ...) are gathered by message before they join;
     ``bodies`` has body_text, body_html and body_error by (archive_id, nid).  A
-    message's lists are its own; messages without rows have empty ones.
+    message's lists are its own; messages without rows have empty ones.  Where
+    recipients or attachments have an ``error``, the message gets the least of them.
+    Without ``payload`` the attachments have none, and none is read.
     """
     key = ["archive_id", "nid"]
+    given = lambda rows, name, kind: F.col(name) if name in rows.columns else F.lit(None).cast(kind)
     person = F.struct("pos", F.col("kind").bitwiseAND(0x0F).cast("int").alias("kind"), F.coalesce("name", F.lit("")).alias("name"), F.when(F.col("email").contains("@"), F.col("email")).otherwise("").alias("email"))
-    people = recipients.groupBy(*key).agg(F.array_sort(F.collect_list(person)).alias("recipients"))
-    shown = properties.recipient_strings(recipients.withColumn("__key", F.struct(*key)), "__key").select("__key.*", "to_list", "cc_list", "bcc_list")
-    file = F.struct("att_no", "filename", "size", "method", "mime_type", "content_id", "is_hidden", "payload")
-    files = attachments.groupBy(*key).agg(F.array_sort(F.collect_list(file), lambda a, b: a["att_no"] - b["att_no"]).alias("attachments"))
-    rows = contents.withColumnRenamed("row_id", "nid").join(people, key, "left").join(shown, key, "left").join(files, key, "left").join(bodies.select(*key, "body_text", "body_html", "body_error"), key, "left")
+    people = recipients.groupBy(*key).agg(F.array_sort(F.collect_list(person)).alias("recipients"), F.min(given(recipients, "error", "string")).alias("recipient_error"))
+    content = F.col("payload") if payload else F.lit(None).cast("binary")
+    file = F.struct("att_no", "filename", "size", "method", "mime_type", "content_id", "is_hidden", content.alias("payload"), given(attachments, "embedded_nid", "long").alias("embedded_nid"))
+    files = attachments.groupBy(*key).agg(F.array_sort(F.collect_list(file), lambda a, b: a["att_no"] - b["att_no"]).alias("attachments"), F.min(given(attachments, "error", "string")).alias("attachment_error"))
+    rows = contents.withColumnRenamed("row_id", "nid").join(people, key, "left").join(files, key, "left").join(bodies.select(*key, "body_text", "body_html", "body_error"), key, "left")
     date = properties.message_date(F.col("delivery_time"), F.col("submit_time"), F.col("modified_time"))
     name = properties.sender_name(F.col("represented_name"), F.col("sender_name"))
-    listed = lambda c, display: F.coalesce(F.nullif(c, F.lit("")), F.col(display), F.lit(""))
     rows = rows.withColumns({"recipients": F.coalesce("recipients", F.array().cast(rows.schema["recipients"].dataType)), "attachments": F.coalesce("attachments", F.array().cast(rows.schema["attachments"].dataType))})
+    shown = lambda kind: F.array_join(F.transform(F.filter("recipients", lambda p: p["kind"] == kind), lambda p: properties.display(p["name"], p["email"])), ", ")
+    listed = lambda kind, display: F.coalesce(F.nullif(shown(kind), F.lit("")), F.col(display), F.lit(""))
+    email = F.coalesce(given(contents, "sender_email", "string"), F.lit(""))
     return rows.select(
-        *key, "folder_nid", F.concat_ws("#", "archive_id", F.col("nid").cast("string")).alias("msg_key"), X.strip(X.clean_subject(F.coalesce("subject", F.lit(""))), X.BLANK_OR_LINE_END).alias("subject"), name.alias("from_name"),
-        listed(F.col("to_list"), "display_to").alias("to_list"), listed(F.col("cc_list"), "display_cc").alias("cc_list"), F.coalesce("bcc_list", F.lit("")).alias("bcc_list"), date.alias("date"), "size", "flags", "message_class", "importance",
-        "recipients", "body_text", "body_html", "body_error", "attachments", F.array_join(F.transform("attachments", lambda a: a["filename"]), " ").alias("attachment_names"), _addresses(F.lit(None).cast("string"), F.col("recipients")).alias("addresses"))
+        *key, "folder_nid", F.concat_ws("#", "archive_id", F.col("nid").cast("string")).alias("msg_key"), X.strip(X.clean_subject(F.coalesce("subject", F.lit(""))), X.BLANK_OR_LINE_END).alias("subject"), name.alias("from_name"), email.alias("from_email"),
+        listed(1, "display_to").alias("to_list"), listed(2, "display_cc").alias("cc_list"), shown(3).alias("bcc_list"), date.alias("date"), "size", "flags", "message_class", "importance", given(contents, "message_id", "string").alias("message_id"),
+        "recipients", "recipient_error", "body_text", "body_html", "body_error", "attachments", "attachment_error", F.array_join(F.transform("attachments", lambda a: a["filename"]), " ").alias("attachment_names"), _addresses(F.nullif(email, F.lit("")), F.col("recipients")).alias("addresses"))

@@ -14,5 +14,10 @@ TABLES = {
     "properties": "archive_id string, nid long, prop_id int, prop_type int, v_long long, v_double double, v_ts timestamp, v_str string, v_bin binary, v_arr array<string>",
     "name_map": "archive_id string, guid string, lid long, str_name string, prop_id int",
     "contents": "archive_id string, folder_nid long, row_id long, subject string, represented_name string, sender_name string, display_to string, display_cc string, delivery_time timestamp, submit_time timestamp, modified_time timestamp, size long, flags int, message_class string, importance int, failed_cells int",
+    "store_folders": "archive_id string, nid long, parent_nid long, name string",
+    "store_contents": "archive_id string, folder_nid long, nid long, subject string, represented_name string, sender_name string, sender_email string, display_to string, display_cc string, delivery_time timestamp, submit_time timestamp, modified_time timestamp, size long, flags int, message_class string, importance int, message_id string",
+    "store_recipients": "archive_id string, nid long, pos long, kind int, name string, email string, error string",
+    "store_attachments": "archive_id string, nid long, att_no int, filename string, size long, method int, mime_type string, content_id string, is_hidden boolean, payload binary, embedded_nid long, error string",
+    "store_bodies": "archive_id string, nid long, body_text string, body_html string, body_error string",
     "failures": "archive_id string, location string, msg_key string, reason string",
 }

@@ -1,11 +1,13 @@
 """Export, duplicates, names and MIME structure on the documented cases."""
 
+import datetime
 import glob
 
 import pytest
 from pyspark.sql import functions as F
 
-from postlark.jobs import export
+from postlark import schemas
+from postlark.jobs import export, stores
 from postlark.operators import dedupe, folders, mime, sinks
 from postlark.sources import mbox
 from tests.core.test_mbox import tree  # noqa: F401
@@ -144,3 +146,46 @@ def test_attachment_and_folder_names(spark):
 def test_inline_references(spark):
     rows = spark.createDataFrame([('<img src="CID:pic@x"> cid:pic@x2 cid:none', [("pic@x", "image/gif", "p.gif", bytearray(b"GIF")), (None, None, "q", bytearray(b""))])], "body_html string, attachments array<struct<content_id:string,mime_type:string,filename:string,payload:binary>>")
     assert mime.inline_references(rows).first().body_html == '<img src="data:image/gif;base64,R0lG"> cid:pic@x2 cid:none'
+
+
+def small_store(spark):
+    """Two archives; a folder name with a slash; a message in two folders; messages within messages; a cycle."""
+    make = lambda rows, name: spark.createDataFrame(rows, schemas.TABLES[f"store_{name}"])
+    tree = [("a", 1, None, "root"), ("a", 2, 1, "Inbox"), ("a", 3, 1, "Inbox/Old"), ("b", 1, None, "root"), ("b", 2, 1, "Mail")]
+    when = datetime.datetime(1999, 11, 4, 9, 0)
+    listed = lambda archive, folder, nid, subject, mid=None: (archive, folder, nid, subject, None, "Ann", "ann@x.org", "", "", when, None, None, 10, 1, "IPM.Note", 1, mid)
+    contents = [listed("a", 3, 36, "shared", "<1>"), listed("a", 2, 36, "shared", "<1>"), listed("a", 2, 68, "outer"), listed("a", None, 100, "inner"), listed("a", None, 132, "innermost é"), listed("a", 2, 164, "cycle"),
+                listed("a", 2, 196, "broken", "<2>"), listed("b", 2, 36, "copy", "<1>"), listed("b", 2, 68, "readable copy of broken", " <2> ")]
+    recipients = [("a", 68, 1, 1, "Bob", "bob@x.org", None), ("a", 68, 0, 2, "Exchange", "/O=X", None), ("a", 68, 2, 3, "", "hidden@x.org", None), ("a", 196, 0, 1, "", "", "recipients cannot be read")]
+    file = lambda nid, no, name, method, payload=None, embedded=None: ("a", nid, no, name, 3, method, "image/gif", "", False, payload, embedded, None)
+    files = [file(68, 1, "inner", 5, embedded=100), file(68, 0, "p.gif", 1, bytearray(b"GIF")), file(100, 0, "innermost", 5, embedded=132), file(164, 0, "self", 5, embedded=164)]
+    bodies = [("a", 68, "outer text", "<b>outer</b>", None), ("a", 132, "From the deepest", None, None), ("b", 36, None, None, None)]
+    return stores.Store(make(tree, "folders"), make(contents, "contents"), make(recipients, "recipients"), make(files, "attachments"), make(bodies, "bodies"))
+
+
+def test_stores_and_files_in_one_export(spark, tree, tmp_path):  # noqa: F811
+    store = small_store(spark)
+    stores.save(store, "small", 3)
+    store = stores.load(spark, "small")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = stores.full(store)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # gathered and joined where the buckets lie
+    report = export.export(spark, [tree, store], str(tmp_path / "out"), failures_path=str(tmp_path / "failures"))
+    # Twice listed, a copy in the other archive; the cycle and the message without readable recipients fail.
+    assert report.first().asDict() == {"scanned": 13, "written": 9, "duplicates": 2, "failures": 2, "misses": 0}
+    failed = {(r.location, r.msg_key): r.reason for r in spark.read.parquet(str(tmp_path / "failures")).collect()}
+    assert failed == {("a/Inbox / cycle", "a#164"): stores.TOO_DEEP, ("a/Inbox / broken", "a#196"): "recipients cannot be read"}
+    rows = mbox.message_summaries(mbox.read_mbox(spark, str(tmp_path / "out"))).collect()
+    texts = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{tmp_path}/out/part-*"))).decode("latin-1")
+    assert texts.index("Subject: Fwd: Report") < texts.index("Subject: shared") < texts.index("Subject: outer") < texts.index("Subject: readable copy of broken")
+    assert "X-Folder: a/Inbox\n" in texts and "X-Folder: b/Mail\n" in texts and len(rows) == 9
+    outer = next(r for r in rows if r.subject == "outer")
+    assert (outer.to_list, outer.cc_list, outer.from_email) == ("Bob", "Exchange", "ann@x.org")
+    parts = mime.explode_parts(spark.createDataFrame([("k", outer.raw)], "msg_key string, raw binary")).collect()
+    inner = [p for p in parts if p.content_type == "message/rfc822"]
+    assert len(inner) == 2 and [p.text.strip() for p in parts if p.leaf and p.content_type == "text/plain"] == ["outer text", "", "From the deepest"]
+    assert export.export(spark, [store], str(tmp_path / "old"), folder="inbox/old").first().written == 1
+    assert export.export(spark, [store], str(tmp_path / "body"), "DEEPEST").first().written == 0
+    assert export.export(spark, [store], str(tmp_path / "bcc"), "hidden@x.org outer").first().written == 1
+    assert export.export(spark, [store], str(tmp_path / "gif"), "p.gif outer", search_bodies=True).first().written == 1
