@@ -701,3 +701,31 @@ def nested_messages(spark, sf_dir):
     parts = mime.message_parts(built, "doc_id").withColumn("texts", F.transform(F.filter("parts", lambda p: p["leaf"] & (p["content_type"] == "text/plain")), lambda p: p["text"]))
     heads = mbox.with_headers(built).select("doc_id", X.header(F.col("headers"), "Subject").alias("subject"))
     return parts.join(heads, "doc_id").select("doc_id", F.size("texts").cast("long").alias("n_messages"), "subject", F.get("texts", 0).alias("outer_text"), F.get("texts", 1).alias("middle_text"), F.md5(F.get("texts", 2)).alias("inner_md5"))
+
+
+@query("""SELECT p_brand AS directory, p_partkey, CASE WHEN rn = 1 THEN 'x' WHEN rn = 2 THEN 'X (2)' WHEN rn = 3 THEN 'x (2) (2)' WHEN rn = 4 THEN 'x (2) (3)' ELSE 'x (' || (rn - 2) || ')' END || '.eml' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)""")
+def unique_names_in_turn(spark, sf_dir):
+    """Names with numbers of their own that come after a name got by number."""
+    rn = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    p = table(spark, sf_dir, "part").withColumn("rn", rn).select(F.col("p_brand").alias("directory"), "p_partkey", F.when(F.col("rn") == 2, "X").when(F.col("rn").isin(3, 4), "x (2)").otherwise("x").alias("name"))
+    return sinks.unique_names(p, "directory", "name", "p_partkey", ".eml").select("directory", "p_partkey", "file_name")
+
+
+@query("""SELECT rel_path, content_md5 FROM (SELECT source || '/' || lang || '/Note' || CASE WHEN rn = 1 THEN '' ELSE ' (' || rn || ')' END || '.eml' AS rel_path, md5(text) AS content_md5, strlen(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents)) WHERE n > 0""")
+def files_round_trip(spark, sf_dir):
+    """Messages written as .eml files of their folders and read back from the folder tree; empty files aren't read."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("archive_id"), F.col("lang").alias("folder_path"), F.col("doc_id").alias("seq"), F.lit("Note").alias("subject"), F.encode("text", "UTF-8").alias("raw"))
+    place = f"{storage.shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    sinks.write_files(sinks.eml_rows(d).select(F.concat_ws("/", "archive_id", "rel_path").alias("rel_path"), "content"), place)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place)
+    return read.select(F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/", -3).alias("rel_path"), F.md5("content").alias("content_md5"))
+
+
+@query("""SELECT event_id, TIMESTAMP '1899-12-30' + to_microseconds((event_id * 1000003 % 5000000000000000)::BIGINT) AS ts FROM events""")
+def ole_dates(spark, sf_dir):
+    """Days with fractions since the end of 1899, to the microsecond that a double holds."""
+    micros = F.col("event_id") * 1_000_003 % 5_000_000_000_000_000
+    found = X.ole_date_to_ts(micros / F.lit(86_400_000_000.0))
+    # A double of this size is exact to less than a hundredth of a millisecond.
+    near = F.abs(F.unix_micros(found) - (micros - 2_209_161_600_000_000)) <= 10
+    return table(spark, sf_dir, "events").select("event_id", F.when(near, F.timestamp_micros(micros - 2_209_161_600_000_000)).alias("ts"))

@@ -15,6 +15,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a task's ranges, what opening a file counts as, and files whose heads one task looks at.
@@ -305,5 +306,5 @@ def with_bytes(rows: DataFrame, file: str = "file_path", offset: str = "offset",
             part = batch.slice(first)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*names, out])
 
-    schema = rows.select(*names).schema
-    return rows.select(*names).mapInArrow(run, schema.add(out, "binary"))
+    own = rows.select(*names)
+    return own.mapInArrow(run, T.StructType([*own.schema, T.StructField(out, T.BinaryType())]))

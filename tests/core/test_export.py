@@ -2,6 +2,7 @@
 
 import datetime
 import glob
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,11 +49,41 @@ def test_unreadable_copies_do_not_hide_readable_ones(spark):
     assert dedupe.distinct_refs(rows.withColumn("msg_key", F.lit("k"))).count() == 2
 
 
+def in_turn(names):
+    """One after the other, with a set of what is taken."""
+    used, out = set(), []
+    for base in names:
+        name, n = base, 2
+        while name.lower() in used:
+            name, n = f"{base} ({n})", n + 1
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def test_unique_names(spark):
-    names = ["Re:", "re:", "Re: (2)", "RE:", "x", "x (2)", "x (3)", "x", "x"]
-    rows = spark.createDataFrame([("d", n, i) for i, n in enumerate(names)], "dir string, name string, i int")
-    got = [r.file_name for r in sinks.unique_names(rows, "dir", "name", "i").orderBy("i").collect()]
-    assert len({g.lower() for g in got}) == len(names) and got[0] == "Re:" and got[2] == "Re: (2)" and got[1] == "re: (3)" and got[7:] == ["x (4)", "x (5)"]
+    rng = random.Random(2)
+    fixed = [["Re:", "re:", "Re: (2)", "RE:", "x", "x (2)", "x (3)", "x", "x"], ["x", "x", "x (2)", "x (2) (2)", "X (2)"], ["y"] * 40, ["z (02)", "z", "z", "z (1)", "z (1)", " (2)", ""]]
+    mixed = [[rng.choice(["a", "A", "a (2)", "a (3)", "A (2) (2)", "a (2) (3)", "b", "a (10)", "a (12)"]) for _ in range(30)] for _ in range(40)]
+    lists = [*fixed, *mixed]
+    rows = spark.createDataFrame([(d, n, i) for d, names in enumerate(lists) for i, n in enumerate(names)], "dir int, name string, i int").repartition(5)
+    got = {(r.dir, r.i): r.file_name for r in sinks.unique_names(rows, "dir", "name", "i", ".eml").collect()}
+    assert got == {(d, i): n + ".eml" for d, names in enumerate(lists) for i, n in enumerate(in_turn(names))}
+
+
+def test_files_are_all_there_or_none(spark, tmp_path):
+    rows = spark.range(200).select(F.concat(F.lit("dir é "), F.col("id") % 7, F.lit("/sub/f#"), "id", F.lit(".eml")).alias("rel_path"), F.when(F.col("id") % 10 > 0, F.encode(F.repeat(F.lit("é\n"), F.col("id").cast("int")), "UTF-8")).alias("content"), "id").repartition(6)
+    sinks.write_files(rows, str(tmp_path / "out"))
+    want = {r.rel_path: bytes(r.content or b"") for r in rows.collect()}
+    assert {str(f.relative_to(tmp_path / "out")): f.read_bytes() for f in (tmp_path / "out").rglob("*") if f.is_file()} == want
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "out"))  # leaves out empty files
+    assert read.count() == 180 and read.agg(F.sum("length")).first()[0] == sum(map(len, want.values()))
+    with pytest.raises(ValueError):
+        sinks.write_files(rows, str(tmp_path / "out"))
+    broken = rows.withColumn("rel_path", F.when(F.col("id") == 150, "../outside").otherwise(F.col("rel_path")))
+    with pytest.raises(Exception, match="not a path below"):
+        sinks.write_files(broken, str(tmp_path / "none"))
+    assert not [f for f in (tmp_path / "none").rglob("*") if f.is_file()] and not (tmp_path / "outside").exists()
 
 
 MESSAGE = b"""Content-Type: multipart/mixed; boundary=m\r
