@@ -729,3 +729,23 @@ def ole_dates(spark, sf_dir):
     # A double of this size is exact to less than a hundredth of a millisecond.
     near = F.abs(F.unix_micros(found) - (micros - 2_209_161_600_000_000)) <= 10
     return table(spark, sf_dir, "events").select("event_id", F.when(near, F.timestamp_micros(micros - 2_209_161_600_000_000)).alias("ts"))
+
+
+@query("""SELECT event_id, date_trunc('second', CASE WHEN ts >= TIMESTAMP '2024-10-27 01:00:00' AND ts < TIMESTAMP '2024-10-27 02:00:00' THEN ts - INTERVAL 1 HOUR ELSE ts END) AS date FROM events""")
+def local_dates(spark, sf_dir):
+    """Dates without a zone in local time of a place with summer time; of an hour that comes twice the first is meant."""
+    text = F.date_format(F.from_utc_timestamp("ts", "Europe/Amsterdam"), "d MMM yyyy HH:mm:ss")
+    return table(spark, sf_dir, "events").select("event_id", mail.mail_date(text, zone="Europe/Amsterdam").alias("date"))
+
+
+@query("""SELECT doc_id, md5(text || chr(13)) AS body_md5 FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents)""")
+def old_line_ends(spark, sf_dir):
+    """Mail files with carriage returns only, one for each document."""
+    d = table(spark, sf_dir, "documents")
+    text = F.regexp_replace("text", "[\\n\\r]", " ")
+    entry = F.concat(F.lit("From - Thu Nov 04 12:00:00 1999\rSubject: "), "doc_id", F.lit("\r\r"), text, F.lit("\r\r"))
+    files = d.select(F.concat(F.lit("f"), "doc_id").alias("rel_path"), F.encode(entry, "UTF-8").alias("content"))
+    place = f"{storage.shared_dir(spark)}/old-{uuid.uuid4().hex}"
+    sinks.write_files(files, place)
+    raw = X.normalize_eol(X.latin1(F.col("raw")))
+    return mbox.read_mbox(spark, place, "a").select(F.substring_index(F.substring_index(raw, "\n", 1), " ", -1).cast("long").alias("doc_id"), F.md5(X.bytes_of(F.concat(F.substring(F.regexp_replace(raw, "\n\\z", ""), F.instr(raw, "\n\n") + 2, F.length(raw)), F.lit("\r")))).alias("body_md5"))

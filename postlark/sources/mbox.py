@@ -136,18 +136,19 @@ def people(headers: Column, field: str) -> Column:
     return mail.addresses(F.array_join(X.header_all(headers, field), ", "))
 
 
-def message_summaries(raw: DataFrame, default_minutes: int = 0) -> DataFrame:
+def message_summaries(raw: DataFrame, default_minutes: int = 0, zone: str | Column | None = None) -> DataFrame:
     """List rows of raw messages that aren't expunged, with ``seq`` counted within each file.
 
     Counting goes by file block, so a large file isn't one task's.  Rows of what couldn't
-    be read (no ``mid``) stay and don't count.  Columns of the raw messages stay.
+    be read (no ``mid``) stay and don't count.  Columns of the raw messages stay.  Dates
+    without a zone are local time of ``zone``, else ``default_minutes`` ahead of UTC.
     """
     h = F.col("headers")
     rows = with_headers(raw).where(~is_expunged(h))
     base = rows.withColumns({
         "subject": X.strip(mail.words(F.coalesce(X.header(h, "Subject"), F.lit(""))), X.BLANK_OR_LINE_END), "sender": F.get(mail.addresses(X.header(h, "From")), 0),
         "to_people": people(h, "To"), "cc_people": people(h, "Cc"), "ct": mail.content_type(X.header(h, "Content-Type")),
-        "header_date": mail.mail_date(mail.words(X.header(h, "Date")), default_minutes), "sep_date": mail.mail_date(F.substring("sep_line", 6, 10_000), default_minutes),
+        "header_date": mail.mail_date(mail.words(X.header(h, "Date")), default_minutes, zone), "sep_date": mail.mail_date(F.substring("sep_line", 6, 10_000), default_minutes, zone),
     })
     flags = F.when(is_read(h), 1).otherwise(0).bitwiseOR(F.when(guesses_attachments(F.col("ct.type")), 16).otherwise(0))
     own = ("subject", "from_name", "from_email", "to_list", "cc_list", "date", "header_date", "flags", "message_class", "importance", "message_id")

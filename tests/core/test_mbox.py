@@ -169,3 +169,12 @@ def test_folders_of_one_name(spark, tmp_path):
     rows = export.folder_list(export.read_archives(spark, [str(root)])).collect()
     got = [(r.folder_id, r.path, r.content_count, r.total_content_count) for r in sorted(rows, key=lambda r: r.folder_order)]
     assert got == [("X", "X", 0, 1), ("X/In", "X/In", 1, 1), ("X.mbox", "X", 1, 1), ("Y", "Y", 1, 2), ("Y/In", "Y/In", 1, 1), ("Z.mbox/", "Z", 1, 2), ("Z.mbox//Sub", "Z/Sub", 1, 1)]
+
+
+@pytest.mark.parametrize("value, want", [
+    ("4 Jul 1999 12:00:00", "1999-07-04 10:00:00"), ("4 Nov 1999 12:00:00", "1999-11-04 11:00:00"), ("28 Mar 1999 02:30", "1999-03-28 01:30:00"), ("31 Oct 1999 02:30", "1999-10-31 00:30:00"),
+    ("4 Jul 1999 12:00:00 GMT", "1999-07-04 12:00:00"), ("4 Jul 1999 12:00:00 +0000", "1999-07-04 12:00:00"), ("no date", None)])
+def test_dates_in_local_time(spark, value, want):
+    for zone in ("Europe/Amsterdam", F.col("z")):
+        row = spark.createDataFrame([(value, "Europe/Amsterdam")], "v string, z string").select(mail.mail_date(F.col("v"), zone=zone).cast("string").alias("t")).first()
+        assert row.t == want
