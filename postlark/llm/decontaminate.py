@@ -125,8 +125,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     An overlap has at least 10 equal words (all of a shorter item) and at most one
     in five substituted.  Items under five words and items without an id are too
     little to go by and never match; null texts match nothing.  Copies of an item
-    count under each id.  All rows and columns of ``docs`` stay.  At most
-    ``items_at_once`` items are broadcast; more are searched in several passes.
+    count under each id.  All rows and columns of ``docs`` stay (one named ``hits``
+    is replaced).  Item ids are whole numbers.  At most ``items_at_once`` items are broadcast; more are searched in several passes.
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))

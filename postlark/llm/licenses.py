@@ -126,7 +126,7 @@ RESULT = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``license``, a struct of :data:`RESULT`'s fields; all rows and columns stay.
+    """Add ``license``, a struct of :data:`RESULT`'s fields; all rows and columns stay (one named ``license`` is replaced).
 
     ``labels`` joins the base labels with those of fuzzy matches; ``score`` is 1 with a
     base place, else the best match's share of unchanged characters, else 0.  Null is

@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere
     else, in the same or another document.  Null counts as an empty text; rows that
     repeat are copies of each other.  All rows and columns stay (one named ``removal``
-    is replaced); an empty table gives none.  A very long text is held whole by the
+    is replaced); an empty table gives none.  Ids are whole numbers, or texts of such.  A very long text is held whole by the
     task that has it, with some eight-byte arrays as long as the text.
     """
     ranges = repeated_ranges(docs, id_col, text_col, length, gram, **options)
