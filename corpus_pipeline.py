@@ -51,8 +51,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    found = decontaminate.with_hits(docs.select(F.struct("*").alias("__row"), "text"), table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("hits") == 0).select("__row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
