@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlark import schemas
-from postlark.jobs import export, stores
+from postlark.jobs import export, messages, stores
 from postlark.operators import dedupe, folders, mime, sinks
 from postlark.sources import mbox
 from tests.core.test_mbox import tree  # noqa: F401
@@ -220,3 +220,10 @@ def test_stores_and_files_in_one_export(spark, tree, tmp_path):  # noqa: F811
     assert export.export(spark, [store], str(tmp_path / "body"), "DEEPEST").first().written == 0
     assert export.export(spark, [store], str(tmp_path / "bcc"), "hidden@x.org outer").first().written == 1
     assert export.export(spark, [store], str(tmp_path / "gif"), "p.gif outer", search_bodies=True).first().written == 1
+
+
+def test_full_messages_of_raw_mail(spark, tree):  # noqa: F811
+    rows = messages.full_messages(mbox.message_summaries(mbox.read_mbox(spark, tree))).where("folder_path = 'Inbox'").orderBy("seq").collect()
+    assert [(r.from_name, r.from_email, r.importance, r.body_kind) for r in rows] == [("Jan de Vries", "jan@example.nl", 1, "text"), ("Anna Smith", "anna@example.com", 2, "text"), ("René Janssen", "rene@example.nl", 1, "text")]
+    assert [(p.kind, p.name, p.email) for p in rows[0].recipients] == [(1, "", "mvberkum@example.nl"), (1, "Berg, Piet", "piet@example.nl")]
+    assert rows[0].addresses == "jan@example.nl mvberkum@example.nl piet@example.nl" and "and more" in rows[1].body_text
