@@ -37,3 +37,10 @@ def test_an_id_in_very_many_rows_reaches_the_driver_once(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     assert toxicity.with_toxicity(docs, model).count() == 100
+
+
+def test_decontamination_stage_keeps_a_hits_column(spark, tmp_path):
+    docs = table(spark, "hits", "item_id")
+    spark.createDataFrame([(7, TEXT)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and [(r.doc_id, r.hits) for r in out.collect()] == [(3, "own hits")]
