@@ -143,7 +143,10 @@ def _document_seeds(texts: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
 
 
 def _join_in_parts(many: DataFrame, few: DataFrame, on: list[str], part_by: Column, part_rows: int) -> DataFrame:
-    """Inner join; a key with over ``part_rows`` rows of ``many`` is dealt to several tasks, and its rows of ``few`` go to each."""
+    """Inner join; a key with over ``part_rows`` rows of ``many``, a written table, is dealt to several tasks, and its rows of
+    ``few`` go to each."""
+    if many.count() <= part_rows:  # no key can have more
+        return many.join(few, on)
     hot = many.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts")).where("parts > 1")
     hot = materialize(hot)
     if hot.isEmpty():
