@@ -6,9 +6,9 @@ with those of all documents; each hit proposes an alignment of an item with a
 document, and the words along that alignment are compared: an overlap counts if it
 has enough words and few substitutions.
 
-Most seeds of documents are in no item.  A table of bits, at most 2**MOST_BITS of
-them however large the benchmark, tells those from the rest where they arise; what
-passes is joined by shuffle, seeds and items that many documents hold in several
+Most seeds of documents are in no item.  A Bloom filter of at most 2**MOST_BITS bits,
+however large the benchmark, tells those from the rest where they arise; what passes
+is joined by shuffle, seeds and items that many documents hold in several
 parts.
 """
 
@@ -30,8 +30,10 @@ MIN_WORDS, MIN_IDENTITY = 10, 0.8
 #: An item of fewer words is too little to go by.
 LEAST_WORDS = 5
 HITS = "array<struct<item_id: long, start: long, n_words: long, n_same: long>>"
-#: Bits for each seed of the benchmark, and the most bits in all (8 MB); a fuller table lets more seeds through to the join.
-BITS_A_SEED, MOST_BITS = 16, 26
+#: Bits for each seed of the benchmark, and the most bits in all (16 MB); a fuller table lets more seeds through to the join.
+BITS_A_SEED, MOST_BITS = 32, 27
+#: A seed marks the bits that its own bits from these on name.
+MARKS = (0, 19, 37)
 #: Rows of one key that a task of a join takes; a key with more goes to several.
 PART_ROWS = 20_000
 #: Entries that may be broadcast; more are joined by shuffle.
@@ -106,12 +108,12 @@ def _item_seeds(words: DataFrame) -> DataFrame:
 
 
 def _bit_table(item_seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """Words of 64 bits, in which the first bits of each seed mark one, and how many of its bits those are."""
+    """Words of 64 bits, in which each seed marks some, and how many of a seed's bits name one."""
     n = item_seeds.count()
     size = min(MOST_BITS, max(16, int(n * BITS_A_SEED).bit_length()))
-    place = F.shiftrightunsigned("seed", 64 - size)
+    places = F.array(*(F.shiftrightunsigned("seed", k).bitwiseAND(F.lit((1 << size) - 1).cast("long")) for k in MARKS))
     bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
-    marked = item_seeds.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    marked = item_seeds.select(F.explode(places).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     rows = marked.toPandas()  # at most 2**MOST_BITS / 64 rows
     bits = np.zeros(1 << (size - 6), np.uint64)
     bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
@@ -120,7 +122,7 @@ def _bit_table(item_seeds: DataFrame) -> tuple[np.ndarray, int]:
 
 def _document_seeds(texts: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
     """(k1, k2, seed, at): the seeds of the texts that the bits let through."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared, low_bits = texts.sparkSession.sparkContext.broadcast(bits), np.uint64((1 << size) - 1)
 
     def seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
@@ -131,8 +133,10 @@ def _document_seeds(texts: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
                 hashes, bounds = hash_words(found), found.bounds
                 for mask in MASKS:
                     own = seeds(hashes, mask)
-                    place = own >> np.uint64(64 - size)
-                    hit = np.nonzero(table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))[0]
+                    hit = np.arange(len(own))
+                    for k in MARKS:
+                        place = own[hit] >> np.uint64(k) & low_bits
+                        hit = hit[table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1]
                     text = np.searchsorted(bounds, hit, "right") - 1
                     inside = hit + len(mask) <= bounds[text + 1]
                     hit, text = hit[inside], text[inside]
