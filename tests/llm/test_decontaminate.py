@@ -91,16 +91,18 @@ def test_equals_brute_force_over_all_alignments(spark, part_rows):
 
 
 def test_every_overlap_has_a_seed():
-    # All ways to substitute words of an overlap, whose ends are equal words.  One of 30 words or more holds 15 with at most three
-    # substituted, at any place.
+    # All ways to substitute words of an overlap of up to 29 words, whose ends are equal words.  Longer ones hold 15 words with at most
+    # three substituted or (40 to 44 words) 20 with at most four, at any place: if each of q stretches of 15 words had four, of n words
+    # 4 * q <= n / 5 were substituted, so that the rest had 5 * q words or more, which are under 15; and 40 to 44 words have two of 20.
     def seedless(n, places):
         return [s for s in places if not any(all(b == "0" or p + k not in s for k, b in enumerate(m)) for m in decontaminate.MASKS for p in range(n - len(m) + 1))]
 
-    for n in range(10, 26):
+    for n in range(10, 30):
         for k in range(n // 5 + 1):
             if n - k >= 10:
                 assert seedless(n, map(set, combinations(range(1, n - 1), k))) == []
     assert seedless(15, map(set, combinations(range(15), 3))) == []
+    assert seedless(20, map(set, combinations(range(20), 4))) == []
 
 
 def test_short_item_is_found_whole(spark):
