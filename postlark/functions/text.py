@@ -60,6 +60,11 @@ def header_all(headers: Column, name: str) -> Column:
     return F.transform(F.filter(headers, lambda h: F.lower(h["name"]) == name.lower()), lambda h: h["value"])
 
 
+def base64_of(raw: Column) -> Column:
+    """Base64 in one line; Spark's own has line ends after 76 characters, unless a setting of the session says otherwise."""
+    return F.replace(F.base64(raw), F.lit("\r\n"), F.lit(""))
+
+
 def decode_base64_lenient(text: Column) -> Column:
     """Base64 bytes: other characters skipped, the end at '=', a dangling character dropped."""
     clean = F.regexp_replace(F.regexp_replace(text, "(?s)=.*", ""), "[^A-Za-z0-9+/]", "")

@@ -179,6 +179,11 @@ def test_inline_references(spark):
     assert mime.inline_references(rows).first().body_html == '<img src="data:image/gif;base64,R0lG"> cid:pic@x2 cid:none'
 
 
+def test_long_inline_references_have_no_line_ends(spark):
+    rows = spark.sql("SELECT '<img src=\"cid:a\">' AS body_html, array(named_struct('content_id', 'a', 'mime_type', '', 'filename', 'a.gif', 'payload', cast(repeat('GIF', 100) AS binary))) AS attachments")
+    assert mime.inline_references(rows).first().body_html == '<img src="data:image/gif;base64,' + "R0lG" * 100 + '">'
+
+
 def small_store(spark):
     """Two archives; a folder name with a slash; a message in two folders; messages within messages; a cycle."""
     make = lambda rows, name: spark.createDataFrame(rows, schemas.TABLES[f"store_{name}"])
