@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,16 +95,25 @@ def html_charset(raw: Column) -> Column:
     return F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", "utf-8").otherwise(F.nullif(named, F.lit("")))
 
 
+def once(value: Column, used: Callable[[Column], Column]) -> Column:
+    """``used`` of a value that is worked out once, as a lambda's variable, not for each use."""
+    return F.get(F.transform(F.array(value), used), 0)
+
+
 def safe_name(text: Column) -> Column:
     """A file name: forbidden characters and leading dots become '_'; 200 UTF-8 bytes at most, cut between characters."""
-    name = strip(F.regexp_replace(text, "[/\\\\:?%*|\"<>\\n\\r\\t]", "_"))
-    dots = F.length(F.regexp_extract(name, "^\\.*", 0))
-    name = F.concat(F.repeat(F.lit("_"), dots), F.regexp_replace(name, "^\\.+", ""))
-    name = F.when(name == "", "zonder onderwerp").otherwise(name)
-    # 200 bytes hold 50 characters at least; the longest prefix that fits is looked for only in long names.
-    # As a lambda's variable the name is worked out once, not for each length.
-    fitted = lambda n: F.left(n, F.array_max(F.filter(F.sequence(F.lit(50), F.least(F.length(n), F.lit(200))), lambda k: F.octet_length(F.left(n, k)) <= 200)))
-    return F.get(F.transform(F.array(F.left(name, F.lit(201))), lambda n: F.when(F.octet_length(n) <= 200, n).otherwise(fitted(n))), 0)
+    def shown(name: Column) -> Column:
+        dots = F.length(F.regexp_extract(name, "^\\.*", 0))
+        return F.when(name == "", "zonder onderwerp").when(name.startswith("."), F.concat(F.repeat(F.lit("_"), dots), F.regexp_replace(name, "^\\.+", ""))).otherwise(name)
+
+    def cut(octets: Column) -> Column:
+        # If the byte behind the 200th goes on with a character, the bytes of that character before it go too.
+        begins = F.left(octets, F.lit(200))
+        return F.when(F.substring(octets, 201, 1).rlike("[\\x80-\\xbf]"), F.regexp_replace(begins, "[\\xc0-\\xff][\\x80-\\xbf]*\\z", "")).otherwise(begins)
+
+    # Tabs become '_', so blanks are cut at the ends; 200 bytes lie in 201 characters, and nothing behind them is looked at.
+    begun = F.translate(F.left(F.trim(text), F.lit(201)), "/\\:?%*|\"<>\n\r\t", "_" * 13)
+    return once(once(begun, shown), lambda name: F.when(F.octet_length(name) <= 200, name).otherwise(bytes_of(once(latin1(F.encode(name, "UTF-8")), cut)).cast("string")))
 
 
 def flat(text: Column) -> Column:

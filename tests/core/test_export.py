@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlark import schemas
+from postlark.functions import text as X
 from postlark.jobs import export, messages, stores
 from postlark.operators import dedupe, folders, mime, sinks
 from postlark.sources import mbox
@@ -174,6 +175,19 @@ def test_attachment_and_folder_names(spark):
     assert sorted(r.rel_path for r in sinks.eml_rows(messages).collect()) == ["A_B (2)/S (2).eml", "A_B (2)/s.eml", "A_B (2)/x/Re_ 1.eml", "A_B/s.eml"]
 
 
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_safe_names(spark):
+    texts = ["é" * 99 + "a" + "日" * 9, "a" + "é" * 300, "日" * 66 + "aa", "日" * 66 + "aaa", "😀" * 51, " " * 300 + "x" * 200 + " " * 300, "." * 201, "\t", "  "]
+    expected = ["é" * 99 + "a", "a" + "é" * 99, "日" * 66 + "aa", "日" * 66 + "aa", "😀" * 50, "x" * 200, "_" * 200, "_", "zonder onderwerp"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r.n for r in rows.select("k", X.safe_name(F.col("t")).alias("n")).orderBy("k").collect()] == expected
+    # The text is worked out once, whatever it costs.
+    assert plan_of(rows.select(X.safe_name(F.initcap("t")).alias("n"))).count("initcap(") == 1
+
+
 def test_inline_references(spark):
     rows = spark.createDataFrame([('<img src="CID:pic@x"> cid:pic@x2 cid:none', [("pic@x", "image/gif", "p.gif", bytearray(b"GIF")), (None, None, "q", bytearray(b""))])], "body_html string, attachments array<struct<content_id:string,mime_type:string,filename:string,payload:binary>>")
     assert mime.inline_references(rows).first().body_html == '<img src="data:image/gif;base64,R0lG"> cid:pic@x2 cid:none'
