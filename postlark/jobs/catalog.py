@@ -373,9 +373,10 @@ def built_messages(spark, sf_dir):
                  F.concat(F.lit("é "), "source").alias("subject"), F.lit(None).cast("timestamp").alias("date"), nothing.alias("message_id"), F.lit("IPM.Note").alias("message_class"), F.col("text").alias("body_text"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("body_html"),
                  F.array(F.struct(F.lit("a.bin").alias("filename"), F.lit(1).alias("method"), F.lit("x/y").alias("mime_type"), F.lit("").alias("content_id"), F.encode("source", "UTF-8").alias("payload"))).alias("attachments"), F.lit(None).cast("binary").alias("raw"))
     built = sinks.build_eml(m).select("msg_key", F.col("eml").alias("raw"))
-    out = mime.bodies_and_attachments(mime.message_parts(built))
-    heads = mbox.with_headers(built).select("msg_key", mail.words(X.header(F.col("headers"), "Subject")).alias("subject"), F.get(mail.addresses(X.header(F.col("headers"), "From")), 0)["name"].alias("from_name"))
-    return out.join(heads, "msg_key").select(F.col("msg_key").alias("doc_id"), F.md5("body_text").alias("plain_md5"), F.md5("body_html").alias("html_md5"), "subject", "from_name")
+    # What the headers tell goes along with the key, so a message is built once, and nothing is shuffled.
+    heads = mbox.with_headers(built).select(F.struct("msg_key", mail.words(X.header(F.col("headers"), "Subject")).alias("subject"), F.get(mail.addresses(X.header(F.col("headers"), "From")), 0)["name"].alias("from_name")).alias("key"), "raw")
+    out = mime.bodies_and_attachments(mime.message_parts(heads, "key"), "key")
+    return out.select(F.col("key.msg_key").alias("doc_id"), F.md5("body_text").alias("plain_md5"), F.md5("body_html").alias("html_md5"), "key.subject", "key.from_name")
 
 
 @query("""SELECT doc_id, md5('From ' || source || '@x.org Thu Jan 01 00:00:00 1970' || chr(10) || 'X-Folder: ' || source || '/' || lang || chr(10) || regexp_replace('From me' || chr(10) || '>From you' || chr(10) || text, '(?m)^From ', '>From ', 'g') || chr(10)) AS entry_md5 FROM documents""")

@@ -86,8 +86,8 @@ HEADER_BYTES = 262_144
 def with_headers(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Add ``headers``: the fields of the block before the first empty line (256 KB at most)."""
     head = X.normalize_eol(X.latin1(F.substring(F.col(raw_col), 1, HEADER_BYTES)))
-    block = F.when(head.startswith("\n"), "").otherwise(F.substring_index(head, "\n\n", 1))
-    parsed = X.parse_headers(X.decode_default(X.bytes_of(block)))
+    block = X.once(head, lambda h: F.when(h.startswith("\n"), "").otherwise(F.substring_index(h, "\n\n", 1)))
+    parsed = X.once(X.once(X.bytes_of(block), X.decode_default), X.parse_headers)
     # The explode of one element is there so that no later use of the column parses again.
     return raw.select(*(c for c in raw.columns if c != "headers"), F.explode(F.array(parsed)).alias("headers"))
 

@@ -1,5 +1,6 @@
 """Export, duplicates, names and MIME structure on the documented cases."""
 
+import base64
 import datetime
 import glob
 import random
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postlark import schemas
 from postlark.functions import text as X
-from postlark.jobs import export, messages, stores
+from postlark.jobs import catalog, export, messages, stores
 from postlark.operators import dedupe, folders, mime, sinks
 from postlark.sources import mbox
 from tests.core.test_mbox import tree  # noqa: F401
@@ -188,6 +189,19 @@ def test_long_safe_names(spark):
     assert plan_of(rows.select(X.safe_name(F.initcap("t")).alias("n"))).count("initcap(") == 1
 
 
+def test_built_messages_are_built_once_and_not_shuffled(spark):
+    plan = plan_of(catalog.built_messages(spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in plan and plan.count("Scan parquet") <= 1
+
+
+def test_base64_lines_of_either_setting(spark):
+    rows = spark.createDataFrame([(bytearray(b"a" * n),) for n in (0, 1, 56, 57, 58, 114, 115)], "b binary")
+    expected = [base64.b64encode(b"a" * n) for n in (0, 1, 56, 57, 58, 114, 115)]
+    expected = ["\r\n".join(e[i:i + 76].decode() for i in range(0, len(e), 76)) + "\r\n" for e in expected]
+    assert [r.t for r in rows.select(sinks._base64_lines(F.col("b")).alias("t")).collect()] == expected
+    assert mime._pieces(b"--b\n1\n--bb\n--b \t\n2\nx--b\n--b--x\n--b--\nend", "b") == [b"1\n--bb", b"2\nx--b\n--b--x"]
+
+
 def test_inline_references(spark):
     rows = spark.createDataFrame([('<img src="CID:pic@x"> cid:pic@x2 cid:none', [("pic@x", "image/gif", "p.gif", bytearray(b"GIF")), (None, None, "q", bytearray(b""))])], "body_html string, attachments array<struct<content_id:string,mime_type:string,filename:string,payload:binary>>")
     assert mime.inline_references(rows).first().body_html == '<img src="data:image/gif;base64,R0lG"> cid:pic@x2 cid:none'
