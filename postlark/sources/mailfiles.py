@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a task's ranges, what opening a file counts as, and files whose heads one task looks at.
-RANGE_BYTES, OPEN_BYTES, HEADS = 128 << 20, 4 << 20, 500
+RANGE_BYTES, OPEN_BYTES, HEADS = 128 << 20, 1 << 18, 500
 #: Bytes in which line ends are looked for, and of a message's beginning that an index keeps.
 HEAD, HEADER_BYTES = 65_536, 262_144
 STEP = 4 << 20

@@ -178,3 +178,9 @@ def test_dates_in_local_time(spark, value, want):
     for zone in ("Europe/Amsterdam", F.col("z")):
         row = spark.createDataFrame([(value, "Europe/Amsterdam")], "v string, z string").select(mail.mail_date(F.col("v"), zone=zone).cast("string").alias("t")).first()
         assert row.t == want
+
+
+def test_small_files_are_read_by_few_tasks():
+    files = [(f"f{i:04}", 2_000) for i in range(2_000)]
+    tasks = mailfiles._dealt(files, mailfiles.RANGE_BYTES)
+    assert [r[0] for p in tasks for r in p.ranges] == [f for f, _ in files] and len(tasks) <= 5
