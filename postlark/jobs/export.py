@@ -26,11 +26,11 @@ def index_archives(spark: SparkSession, paths: list[str], numbers: list[int] | N
     Rows with an ``error`` stand for what couldn't be read of a file.  ``numbers`` are the
     archives' places among others.
     """
-    listed = [messages.searchable(mbox.message_summaries(mbox.read_mbox(spark, p, payload=False, errors=True))) for p in paths]
-    numbered = dedupe.union_archives(listed)
+    listed = dedupe.union_archives([messages.searchable(mbox.message_summaries(mbox.read_mbox(spark, p, payload=False, errors=True), numbered=False)) for p in paths])
     if numbers:
-        numbered = numbered.withColumn("archive_no", F.get(F.array(*map(F.lit, numbers)), F.col("archive_no")))
-    rows = materialize(numbered.drop("raw", "headers"))
+        listed = listed.withColumn("archive_no", F.get(F.array(*map(F.lit, numbers)), F.col("archive_no")))
+    # Numbering reads its rows twice: not the files, but the table without bytes.
+    rows = materialize(mbox.number_messages(materialize(listed.drop("raw", "headers")), ("archive_no", "file_path")))
     files = rows.select(F.col("archive_no").alias("archive_id"), "file_path", mbox.folder_steps(F.col("rel_path")).alias("steps")).distinct()
     tree = folders.with_preorder(folders.folders_from_files(files), keys="keys").where("file_path is not null")
     places = tree.select(F.col("archive_id").alias("archive_no"), "file_path", F.array_join("path", "/").alias("folder_path"), "folder_order")
@@ -85,7 +85,7 @@ def searched(rows: DataFrame, query: str, search_bodies: bool = False) -> DataFr
     hit = search.in_list(query) | search.with_addresses(query)
     if not search_bodies:
         return rows.withColumn("hit", hit)
-    missed = messages.with_bodies(mailfiles.with_bytes(rows.where(~hit)))
+    missed = messages.with_bodies(rows.where(~hit))
     missed = missed.withColumn("hit", search.with_bodies(query)).select(*rows.columns, "body_error", "hit")
     found = rows.where(hit).withColumns({"body_error": F.lit(None).cast("string"), "hit": F.lit(True)})
     return found.unionByName(missed)
@@ -112,7 +112,8 @@ def export(spark: SparkSession, sources: list[str | stores.Store], output: str,
     columns = [*KEYS, "archive_id", "folder_path", "msg_key", "subject", "message_id", "hit", "first_entry"]
     kinds = ("recipient_error", "body_error", "attachment_error")
     with_kinds = lambda rows: rows.select(*columns, *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in kinds))
-    every = reduce(DataFrame.unionByName, [with_kinds(c) for c in candidates])
+    # Decisions read their rows four times; bodies are parsed and searched once.
+    every = materialize(reduce(DataFrame.unionByName, [with_kinds(c) for c in candidates]))
     decided = materialize(decide(every, query, folder, F.col("hit"), search_bodies).select(*KEYS, "archive_id", "folder_path", "msg_key", "subject", "status", "reason"))
     written, out = decided.where("status = 'written'"), []
     kept = [*KEYS, "archive_id", "folder_path"]

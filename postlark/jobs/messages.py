@@ -27,10 +27,14 @@ def searchable(rows: DataFrame, bodies: bool = False) -> DataFrame:
 
 
 def with_bodies(rows: DataFrame) -> DataFrame:
-    """Raw messages with body_text (plain, else of the HTML), body_html, body_kind, attachments, attachment_names and body_error in place of ``raw``."""
+    """Raw messages with body_text (plain, else of the HTML), body_html, body_kind, attachments, attachment_names and body_error in place of ``raw``.
+
+    Without ``raw`` the bytes are read by their extents (file_path, offset, size) where they are parsed.
+    """
     kept = [c for c in rows.columns if c not in ("raw", "body_text", "body_html", "body_kind", "attachments", "attachment_names", "body_error")]
-    keyed = rows.select(F.struct(*kept).alias("__row"), "raw")
-    parts = mime.bodies_and_attachments(mime.message_parts(keyed, "__row"), "__row")
+    extent = None if "raw" in rows.columns else ("file_path", "offset", "size")
+    keyed = rows.select(F.struct(*kept).alias("__row"), *(extent or ["raw"]))
+    parts = mime.bodies_and_attachments(mime.message_parts(keyed, "__row", extent=extent), "__row")
     plain, kind = mime.body_of(F.col("body_text"), F.lit(None).cast("string"), F.col("body_html"))
     return parts.select(*(F.col("__row")[c].alias(c) for c in kept), plain.alias("body_text"), "body_html", kind.alias("body_kind"), "attachments", F.array_join(F.transform("attachments", lambda a: a["filename"]), " ").alias("attachment_names"), F.col("parse_error").alias("body_error"))
 

@@ -23,7 +23,7 @@ RANGE_BYTES, OPEN_BYTES, HEADS = 128 << 20, 1 << 18, 500
 #: Bytes in which line ends are looked for, and of a message's beginning that an index keeps.
 HEAD, HEADER_BYTES = 65_536, 262_144
 STEP = 4 << 20
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 FILES = "path string, rel_path string, size_bytes long, kind string, eol string, error string"
 MESSAGES = "file_path string, rel_path string, block long, mid long, offset long, size long, sep_line string, raw binary, error string"
@@ -277,6 +277,24 @@ def load(spark: SparkSession, source: type[DataSource], root: str, **options: st
     return spark.read.format(source.name()).options(**options).load(whole)
 
 
+class Extents:
+    """Reads extents of files in a task and keeps up to 64 files open."""
+
+    def __init__(self):
+        self.files: dict[str, pa.NativeFile] = {}
+
+    def read(self, path: str | None, at: int | None, length: int | None) -> bytes | None:
+        """The bytes; None if there is no extent."""
+        if path is None or at is None or length is None:
+            return None
+        if path not in self.files:
+            if len(self.files) >= 64:
+                self.files.pop(next(iter(self.files))).close()
+            system, place = opened(path)
+            self.files[path] = system.open_input_file(place)
+        return _read(self.files[path], at, length)
+
+
 def with_bytes(rows: DataFrame, file: str = "file_path", offset: str = "offset", size: str = "size", out: str = "raw") -> DataFrame:
     """Add the bytes of each row's extent (file, offset, size), read by the task that has the row; a null extent has none.
 
@@ -285,20 +303,12 @@ def with_bytes(rows: DataFrame, file: str = "file_path", offset: str = "offset",
     names = [c for c in rows.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[str, pa.NativeFile] = {}
+        extents = Extents()
         for batch in batches:
             found, held, first = [], 0, 0
-            for k, (path, at, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in (file, offset, size)), strict=True)):
-                if path is None or at is None or length is None:
-                    found.append(None)
-                    continue
-                if path not in files:
-                    if len(files) >= 64:
-                        files.pop(next(iter(files))).close()
-                    system, place = opened(path)
-                    files[path] = system.open_input_file(place)
-                found.append(_read(files[path], at, length))
-                held += length
+            for k, place in enumerate(zip(*(batch.column(c).to_pylist() for c in (file, offset, size)), strict=True)):
+                found.append(extents.read(*place))
+                held += len(found[-1] or b"")
                 if held >= BATCH_BYTES:
                     part = batch.slice(first, k + 1 - first)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*names, out])

@@ -136,10 +136,10 @@ def people(headers: Column, field: str) -> Column:
     return mail.addresses(F.array_join(X.header_all(headers, field), ", "))
 
 
-def message_summaries(raw: DataFrame, default_minutes: int = 0, zone: str | Column | None = None) -> DataFrame:
-    """List rows of raw messages that aren't expunged, with ``seq`` counted within each file.
+def message_summaries(raw: DataFrame, default_minutes: int = 0, zone: str | Column | None = None, numbered: bool = True) -> DataFrame:
+    """List rows of raw messages that aren't expunged, with ``seq`` counted within each file unless ``numbered`` is false.
 
-    Counting goes by file block, so a large file isn't one task's.  Rows of what couldn't
+    Counting goes by file block, so a large file isn't one task's; it reads the rows twice.  Rows of what couldn't
     be read (no ``mid``) stay and don't count.  Columns of the raw messages stay.  Dates
     without a zone are local time of ``zone``, else ``default_minutes`` ahead of UTC.
     """
@@ -157,13 +157,13 @@ def message_summaries(raw: DataFrame, default_minutes: int = 0, zone: str | Colu
         F.coalesce(F.when(F.col("sender.name") == "", F.col("sender.email")).otherwise(F.col("sender.name")), F.lit("")).alias("from_name"), F.coalesce("sender.email", F.lit("")).alias("from_email"),
         names(F.col("to_people")).alias("to_list"), names(F.col("cc_people")).alias("cc_list"), F.coalesce("header_date", "sep_date").alias("date"), "header_date", flags.alias("flags"),
         F.lit("IPM.Note").alias("message_class"), list_importance(h).alias("importance"), X.strip(F.coalesce(X.header(h, "Message-ID"), F.lit(""))).alias("message_id"))
-    return number_messages(listed)
+    return number_messages(listed) if numbered else listed
 
 
-def number_messages(rows: DataFrame) -> DataFrame:
+def number_messages(rows: DataFrame, file: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """Add ``seq``, from 0 in each file by (block, mid), and ``msg_key``."""
-    within = F.row_number().over(Window.partitionBy("file_path", "block").orderBy(F.col("mid").asc_nulls_last()))
-    blocks = rows.groupBy("file_path", "block").agg(F.count("mid").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("file_path").orderBy("block")) - F.col("n")
-    numbered = rows.withColumn("w", within).join(blocks.select("file_path", "block", before.alias("before")), ["file_path", "block"])
+    within = F.row_number().over(Window.partitionBy(*file, "block").orderBy(F.col("mid").asc_nulls_last()))
+    blocks = rows.groupBy(*file, "block").agg(F.count("mid").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*file).orderBy("block")) - F.col("n")
+    numbered = rows.withColumn("w", within).join(blocks.select(*file, "block", before.alias("before")), [*file, "block"])
     return numbered.withColumn("seq", F.col("before") + F.col("w") - 1).withColumn("msg_key", F.concat_ws("#", "file_path", F.col("seq").cast("string"))).drop("w", "before")

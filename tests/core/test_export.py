@@ -13,7 +13,7 @@ from postlark import schemas
 from postlark.functions import text as X
 from postlark.jobs import catalog, export, messages, stores
 from postlark.operators import dedupe, folders, mime, sinks
-from postlark.sources import mbox
+from postlark.sources import mailfiles, mbox
 from tests.core.test_mbox import tree  # noqa: F401
 
 
@@ -32,6 +32,18 @@ def test_export_and_read_back(spark, tree, tmp_path):  # noqa: F811
         export.export(spark, [tree], tree + "/Sent.sbd/out")
 
 
+def test_files_are_scanned_once_and_bodies_parsed_once(spark, tree, tmp_path, monkeypatch):  # noqa: F811
+    plans, kept = [], export.materialize
+    monkeypatch.setattr(export, "materialize", lambda df: plans.append(plan_of(df)) or kept(df))
+    assert export.export(spark, [tree, tree], str(tmp_path / "out"), "the", search_bodies=True).first().scanned == 12
+    assert sum(p.count("BatchScan mbox") for p in plans) == 2  # one an archive
+    # The only step of the search that has bytes in Python reads and parses them, one message at a time.
+    assert sum(p.count("MapInArrow") for p in plans) == 1
+    raw = export.read_archives(spark, [tree]).withColumn("seq", F.col("seq").cast("int"))
+    by_place, with_raw = messages.with_bodies(raw), messages.with_bodies(mailfiles.with_bytes(raw))
+    assert by_place.orderBy("msg_key").collect() == with_raw.select(*by_place.columns).orderBy("msg_key").collect()
+
+
 def test_append(spark, tree, tmp_path):  # noqa: F811
     out = str(tmp_path / "out")
     assert export.export(spark, [tree], out, folder="inbox").first().written == 3
