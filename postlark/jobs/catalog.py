@@ -699,9 +699,9 @@ def nested_messages(spark, sf_dir):
     tree = spark.createDataFrame([("w", 1, None, "root"), ("w", 2, 1, "Mail")], schemas.TABLES["store_folders"])
     store = stores.Store(tree, store_table(every, "contents"), store_table(every.limit(0), "recipients"), store_table(files, "attachments"), store_table(every, "bodies"))
     built = stores.as_eml(store, level(0).select("archive_id", "nid")).select((F.col("nid") / 3).cast("long").alias("doc_id"), F.col("eml").alias("raw"))
-    parts = mime.message_parts(built, "doc_id").withColumn("texts", F.transform(F.filter("parts", lambda p: p["leaf"] & (p["content_type"] == "text/plain")), lambda p: p["text"]))
-    heads = mbox.with_headers(built).select("doc_id", X.header(F.col("headers"), "Subject").alias("subject"))
-    return parts.join(heads, "doc_id").select("doc_id", F.size("texts").cast("long").alias("n_messages"), "subject", F.get("texts", 0).alias("outer_text"), F.get("texts", 1).alias("middle_text"), F.md5(F.get("texts", 2)).alias("inner_md5"))
+    heads = mbox.with_headers(built).select(F.struct("doc_id", X.header(F.col("headers"), "Subject").alias("subject")).alias("head"), "raw")
+    parts = mime.message_parts(heads, "head").withColumn("texts", F.transform(F.filter("parts", lambda p: p["leaf"] & (p["content_type"] == "text/plain")), lambda p: p["text"]))
+    return parts.select("head.doc_id", F.size("texts").cast("long").alias("n_messages"), "head.subject", F.get("texts", 0).alias("outer_text"), F.get("texts", 1).alias("middle_text"), F.md5(F.get("texts", 2)).alias("inner_md5"))
 
 
 @query("""SELECT p_brand AS directory, p_partkey, CASE WHEN rn = 1 THEN 'x' WHEN rn = 2 THEN 'X (2)' WHEN rn = 3 THEN 'x (2) (2)' WHEN rn = 4 THEN 'x (2) (3)' ELSE 'x (' || (rn - 2) || ')' END || '.eml' AS file_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)""")

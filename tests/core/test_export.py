@@ -268,6 +268,15 @@ def test_stores_and_files_in_one_export(spark, tree, tmp_path):  # noqa: F811
     assert export.export(spark, [store], str(tmp_path / "gif"), "p.gif outer", search_bodies=True).first().written == 1
 
 
+def test_only_wanted_messages_are_gathered_and_built_once(spark):
+    store = small_store(spark)
+    built = stores.as_eml(store, spark.createDataFrame([("a", 36), ("a", 68)], "archive_id string, nid long"))
+    assert plan_of(built).count("LeftSemi") >= 4  # contents, recipients, attachments and bodies
+    assert {r.nid for r in built.collect()} == {36, 68} and built.count() == 2
+    # One explode that holds the building, one that holds the headers.
+    assert plan_of(catalog.nested_messages(spark, "/root/testdata/sf0.001")).count("Generate explode(array(") == 2
+
+
 def test_full_messages_of_raw_mail(spark, tree):  # noqa: F811
     rows = messages.full_messages(mbox.message_summaries(mbox.read_mbox(spark, tree))).where("folder_path = 'Inbox'").orderBy("seq").collect()
     assert [(r.from_name, r.from_email, r.importance, r.body_kind) for r in rows] == [("Jan de Vries", "jan@example.nl", 1, "text"), ("Anna Smith", "anna@example.com", 2, "text"), ("René Janssen", "rene@example.nl", 1, "text")]
