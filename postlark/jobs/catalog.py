@@ -680,7 +680,8 @@ def export_from_store(spark, sf_dir):
     folder = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 3).otherwise(4)
     key = lambda rows, nid: rows.withColumns({"archive_id": F.lit("w"), "nid": F.col(nid)})
     contents = key(o, "o_orderkey").withColumns({"folder_nid": folder, "subject": F.col("o_orderkey").cast("string"), "sender_name": F.lit("P"), "sender_email": F.concat(F.lit("p"), "o_custkey", F.lit("@x.org")), "submit_time": F.col("o_orderdate"), "message_class": F.lit("IPM.Note"), "message_id": F.concat(F.lit("<"), "o_custkey", F.lit(">"))})
-    people = key(li, "l_orderkey").select("archive_id", "nid", "l_suppkey").distinct().withColumns({"pos": F.col("l_suppkey"), "kind": F.lit(1), "name": F.concat(F.lit("S"), "l_suppkey"), "email": F.concat(F.lit("s"), "l_suppkey", F.lit("@x.org"))})
+    # Dealt out by message once: what follows, distinct rows and lists, keeps to that.
+    people = key(li.select("l_orderkey", "l_suppkey").repartition("l_orderkey"), "l_orderkey").select("archive_id", "nid", "l_suppkey").distinct().withColumns({"pos": F.col("l_suppkey"), "kind": F.lit(1), "name": F.concat(F.lit("S"), "l_suppkey"), "email": F.concat(F.lit("s"), "l_suppkey", F.lit("@x.org"))})
     bodies = key(o, "o_orderkey").withColumns({"body_text": F.col("o_orderpriority"), "body_error": F.when(F.col("o_orderkey") % 50 == 0, "body cannot be read")})
     store = stores.Store(tree, store_table(contents, "contents"), store_table(people, "recipients"), store_table(people.limit(0), "attachments"), store_table(bodies, "bodies"))
     out = f"{storage.shared_dir(spark)}/found-{uuid.uuid4().hex}"

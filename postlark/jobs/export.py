@@ -122,7 +122,9 @@ def export(spark: SparkSession, sources: list[str | stores.Store], output: str,
         out.append(rows.join(small(written.select(*KEYS)), KEYS, "left_semi").select(*kept, "file_path", "offset", "size", "from_email", "header_date", *none(entry="string")))
     for k, s in others.items():
         own = written.where(F.col("archive_no") == k).select(*kept, F.col("seq").alias("nid"))
-        out.append(stores.entries(s, own).select(*kept, *none(file_path="string", offset="long", size="long", from_email="string", header_date="timestamp"), "entry"))
+        # The order of the output is found by looking at its rows: what has to be built is built once before.
+        built = materialize(stores.entries(s, own).select(*kept, "entry"))
+        out.append(built.select(*kept, *none(file_path="string", offset="long", size="long", from_email="string", header_date="timestamp"), "entry"))
     ordered = reduce(DataFrame.unionByName, out).repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     entry = sinks.mbox_entry(F.col("raw"), F.col("from_email"), F.col("header_date"), sinks.folder_header(F.col("archive_id"), F.col("folder_path")), F.lit(True))
     sinks.write_mbox(mailfiles.with_bytes(ordered).select(F.coalesce("entry", entry).alias("entry")), output, append=append, ordered=True)

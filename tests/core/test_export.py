@@ -277,6 +277,14 @@ def test_only_wanted_messages_are_gathered_and_built_once(spark):
     assert plan_of(catalog.nested_messages(spark, "/root/testdata/sf0.001")).count("Generate explode(array(") == 2
 
 
+def test_messages_of_stores_are_built_once(spark, tmp_path, monkeypatch):
+    plans, kept = [], sinks.write_mbox
+    monkeypatch.setattr(sinks, "write_mbox", lambda rows, *a, **k: plans.append(plan_of(rows)) or kept(rows, *a, **k))
+    assert export.export(spark, [small_store(spark)], str(tmp_path / "out"), folder="inbox/old").first().written == 1
+    # Ordering looks at its rows once more, so what it reads is built already.
+    assert "rangepartitioning" in plans[0] and "Join" not in plans[0]
+
+
 def test_full_messages_of_raw_mail(spark, tree):  # noqa: F811
     rows = messages.full_messages(mbox.message_summaries(mbox.read_mbox(spark, tree))).where("folder_path = 'Inbox'").orderBy("seq").collect()
     assert [(r.from_name, r.from_email, r.importance, r.body_kind) for r in rows] == [("Jan de Vries", "jan@example.nl", 1, "text"), ("Anna Smith", "anna@example.com", 2, "text"), ("René Janssen", "rene@example.nl", 1, "text")]
