@@ -719,8 +719,8 @@ def files_round_trip(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("archive_id"), F.col("lang").alias("folder_path"), F.col("doc_id").alias("seq"), F.lit("Note").alias("subject"), F.encode("text", "UTF-8").alias("raw"))
     place = f"{storage.shared_dir(spark)}/files-{uuid.uuid4().hex}"
     sinks.write_files(sinks.eml_rows(d).select(F.concat_ws("/", "archive_id", "rel_path").alias("rel_path"), "content"), place)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place)
-    return read.select(F.substring_index(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/", -3).alias("rel_path"), F.md5("content").alias("content_md5"))
+    files = mailfiles.files_below(spark, place).where("size > 0")
+    return mailfiles.whole_files(files).select("rel_path", F.md5("raw").alias("content_md5"))
 
 
 @query("""SELECT event_id, TIMESTAMP '1899-12-30' + to_microseconds((event_id * 1000003 % 5000000000000000)::BIGINT) AS ts FROM events""")

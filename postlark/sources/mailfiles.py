@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from postlark.storage import materialize
+
 #: Bytes of a task's ranges, what opening a file counts as, and files whose heads one task looks at.
 RANGE_BYTES, OPEN_BYTES, HEADS = 128 << 20, 1 << 18, 500
 #: Bytes in which line ends are looked for, and of a message's beginning that an index keeps.
@@ -277,6 +281,39 @@ def load(spark: SparkSession, source: type[DataSource], root: str, **options: st
     return spark.read.format(source.name()).options(**options).load(whole)
 
 
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, rel_path, size) of all files below a folder, as :func:`listed` shows them, level by level.
+
+    Tasks list the directories, one each at a time; the driver sees no names.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    ddl = "rel_path string, size long"  # a directory has no size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(whole)
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(f"{base}/{rel}".rstrip("/")))
+                rows = [(f.path.removeprefix(base + "/"), f.size if f.is_file else None) for f in found if not f.base_name.startswith(".") and f.base_name not in ("_SUCCESS", "_temporary")]
+                for k in range(0, len(rows), BATCH_ROWS):
+                    yield _batch(rows[k:k + BATCH_ROWS], ddl)
+
+    directories, levels = spark.createDataFrame([("",)], "rel_path string"), []
+    while not levels or not directories.isEmpty():
+        levels.append(materialize(directories.mapInArrow(run, ddl)))
+        directories = levels[-1].where("size is null").select("rel_path").repartition(spark.sparkContext.defaultParallelism * 4, "rel_path")
+    files = reduce(DataFrame.union, levels).where("size is not null")
+    return files.select(F.concat(F.lit(whole + "/"), "rel_path").alias("file_path"), "rel_path", "size")
+
+
+def whole_files(files: DataFrame, out: str = "raw") -> DataFrame:
+    """Add the bytes of files (file_path, size), read by tasks of about RANGE_BYTES, opening counted."""
+    total = files.agg(F.coalesce(F.sum(F.col("size") + OPEN_BYTES), F.lit(0))).first()[0]
+    dealt = files.repartition(max(1, -(-total // RANGE_BYTES)), "file_path").withColumn("offset", F.lit(0).cast("long"))
+    return with_bytes(dealt, out=out).drop("offset")
+
+
 class Extents:
     """Reads extents of files in a task and keeps up to 64 files open."""
 

@@ -3,6 +3,7 @@
 import base64
 import datetime
 import glob
+import pickle
 import random
 
 import pyarrow as pa
@@ -300,3 +301,21 @@ def test_files_take_their_places_without_a_look_up_each(tmp_path, monkeypatch):
     writer.commit([writer.write(iter([pa.record_batch({"rel_path": names, "content": [n.encode() for n in names]})])), None])
     found = {str(p.relative_to(tmp_path / "x")): p.read_text() for p in (tmp_path / "x").rglob("*") if p.is_file()}
     assert found == {n: n for n in names} and len(calls) < 10
+
+
+def test_no_names_of_files_pass_through_the_driver(spark, tmp_path):
+    root = str(tmp_path / "x")
+    writer = sinks.FileTreeWriter(root)
+    names = [f"d{i % 3}/e%20 {i % 2}/_n + é {i}" for i in range(1_300)] + ["top", "d0/empty"]
+    contents = [b"" if n == "d0/empty" else n.encode() for n in names]
+    message = writer.write(iter([pa.record_batch({"rel_path": names, "content": contents})]))
+    assert len(pickle.dumps(message)) < 200  # once all names, for the driver to hold
+    writer.commit([message, None, writer.write(iter([]))])
+    found = {str(p.relative_to(root)): p.read_bytes() for p in (tmp_path / "x").rglob("*") if p.is_file()}
+    assert found == dict(zip(names, contents, strict=True))
+    files = mailfiles.files_below(spark, root)
+    assert {(r.rel_path, r.size) for r in files.collect()} == set(mailfiles.listed(root))
+    assert {r.rel_path: bytes(r.raw) for r in mailfiles.whole_files(files).collect()} == found
+    assert not [p for p in files.inputFiles() if p.startswith(f"file://{root}")]  # Spark's own sources list in the driver
+    (tmp_path / "none").mkdir()
+    assert mailfiles.whole_files(mailfiles.files_below(spark, str(tmp_path / "none"))).count() == 0
